@@ -181,14 +181,14 @@ def seconds_text(s: Column) -> Column:
     secs = F.when(F.round(a % 60, 6) > 0, F.concat(rest, F.lit("S"))).otherwise("")
     clock = F.concat(some(h, "H"), some(m, "M"), secs)
     body = F.concat(some(d, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-    return F.when(s == 0, "PT0S").otherwise(F.concat(F.when(s < 0, "-P").otherwise("P"), body))
+    return F.when(s == 0, "PT0S").when(s.isNotNull(), F.concat(F.when(s < 0, "-P").otherwise("P"), body))
 
 
 def months_text(m: Column) -> Column:
     a = F.abs(m)
     y, r = F.floor(a / 12), a % 12
     body = F.concat(F.when(y > 0, F.concat(y.cast("string"), F.lit("Y"))).otherwise(""), F.when(r > 0, F.concat(r.cast("string"), F.lit("M"))).otherwise(""))
-    return F.when(m == 0, "P0M").otherwise(F.concat(F.when(m < 0, "-P").otherwise("P"), body))
+    return F.when(m == 0, "P0M").when(m.isNotNull(), F.concat(F.when(m < 0, "-P").otherwise("P"), body))
 
 
 def lit_term(v: Column, datatype: str) -> Val:
@@ -224,8 +224,9 @@ def _no_nan(a: Column, b: Column, t: str, result: Column) -> Column:
 def eq(a: Val, b: Val) -> Column:
     if a.t in NUMERIC and b.t in NUMERIC:
         x, y, t = promote(a, b)
-        # a NaN in a column is the only case in which = of both differs: constants rule it out
-        return x == y if a.const is not None or b.const is not None else _no_nan(x, y, t, x == y)
+        # Spark's NaN equals itself; with a constant that is a number it makes no difference
+        number = any(v.const is not None and v.const.v != "NaN" for v in (a, b))
+        return x == y if number else _no_nan(x, y, t, x == y)
     if a.t == b.t and a.t in ("string", "boolean", "dateTime", "date"):
         return a.col == b.col
     if a.t == b.t == "iri":
@@ -249,7 +250,7 @@ def eq_terms(x: Column, y: Column) -> Column:
         F.when(~lits, same)
         .when(is_numeric_dt(x["dt"]) & is_numeric_dt(y["dt"]), F.when(F.isnan(nx) | F.isnan(ny), False).otherwise(nx == ny))
         .when(is_string(x) & is_string(y), x["v"] == y["v"])
-        .when(x["lang"].isNotNull() & y["lang"].isNotNull(), same)
+        .when(is_stringly(x) & is_stringly(y), same)
         .when(same_dt & (x["dt"] == BOOLEAN), boolean_of(x["v"]) == boolean_of(y["v"]))
         .when(same_dt & x["dt"].isin(DATETIME, DATE), instant_of(x["v"]) == instant_of(y["v"]))
         .when(same_dt & (x["dt"] == TIME), time_of(x["v"]) == time_of(y["v"]))
@@ -262,7 +263,7 @@ def lt(a: Val, b: Val, c: Context) -> Column:
     if a.t in NUMERIC and b.t in NUMERIC:
         x, y, t = promote(a, b)
         if t in ("float", "double"):  # Spark puts NaN above all others
-            return (x < y) & (~F.isnan(y) if b.const is None else F.lit(True))
+            return (x < y) & ~F.isnan(y) if b.const is None or b.const.v == "NaN" else x < y
         return x < y
     if a.t == b.t and a.t in ("string", "boolean", "dateTime", "date"):
         return a.col < b.col
@@ -290,7 +291,7 @@ def lt(a: Val, b: Val, c: Context) -> Column:
 def le(a: Val, b: Val, c: Context) -> Column:
     if a.t in NUMERIC and b.t in NUMERIC:
         x, y, t = promote(a, b)
-        return (x <= y) & ~F.isnan(y) if t in ("float", "double") and b.const is None else x <= y
+        return (x <= y) & ~F.isnan(y) if t in ("float", "double") and (b.const is None or b.const.v == "NaN") else x <= y
     if a.t == b.t and a.t in ("string", "boolean", "dateTime", "date"):
         return a.col <= b.col
     return lt(a, b, c) | eq(a, b)
