@@ -87,6 +87,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no version line")
     if end < 0:
         raise Damaged("header not ended")
+    if re.search(rb"WARC/\d\.\d\r\n", data[1 : end + 2]):
+        raise Damaged("another version line in the header")  # a cut-off header runs into the next record's
     headers = {}
     for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, sep, value = line.partition(":")
