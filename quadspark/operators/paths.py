@@ -105,7 +105,7 @@ def closure(path: Closure, start: Term | None, end: Term | None, g: object, patt
         delta = written(found.join(known, keys, "left_anti").select(*[F.col(f"`{k}`") for k in keys]))
         if delta.isEmpty():
             return Rel(known, out)
-        known = written(known.union(delta))
+        known = known.union(delta)  # both are tables: nothing is computed again
     raise RuntimeError("a path closure didn't end")
 
 
