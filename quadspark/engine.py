@@ -21,16 +21,19 @@ from quadspark.terms import Term, box, value
 class Engine:
     """sources: TableSource, QuadSource, Store, or DataFrames of quads. A query sees them together.
 
-    services: name -> list of sources, for SERVICE. extensions: IRI -> function of columns.
+    services: name -> list of sources, for SERVICE. extensions: IRI -> function of columns;
+    extension_creator: makes one by its IRI, or None. opt_plus: OPTIONAL also keeps each left
+    solution by itself. non_lexical_comparison: ill-typed literals of one datatype compare by text.
     """
 
     def __init__(
         self, spark: SparkSession, *sources: object, prefixes: dict[str, str] | None = None, base: str | None = None, services: dict[str, list] | None = None, extensions: dict[str, Callable[..., Column]] | None = None, union_default_graph: bool = False,
-        distinct_construct: bool = False, full_term_comparison: bool = False, reserved_in_encode: bool = False, now: str | None = None, load: Callable[[str], DataFrame] | None = None,
+        distinct_construct: bool = False, full_term_comparison: bool = False, non_lexical_comparison: bool = False, extension_creator: Callable[[str], Callable[..., Column] | None] | None = None, opt_plus: bool = False, reserved_in_encode: bool = False, now: str | None = None, load: Callable[[str], DataFrame] | None = None,
     ) -> None:
         self.spark, self.prefixes, self.base, self.union_default = spark, prefixes or {}, base, union_default_graph
         self.sources, self.services = list(sources), services or {}
         self.extensions, self.distinct_construct, self.full, self.reserved, self.now, self.load = extensions or {}, distinct_construct, full_term_comparison, reserved_in_encode, now, load
+        self.lexical_comparison, self.creator, self.opt_plus = non_lexical_comparison, extension_creator, opt_plus
 
     @classmethod
     def over_tables(cls, spark: SparkSession, sf_dir: str, **options) -> Engine:  # noqa: ANN003
@@ -45,7 +48,7 @@ class Engine:
         return out
 
     def _context(self, base: str | None) -> Context:
-        c = Context(base=base or self.base, extensions=self.extensions, full_comparison=self.full, reference_encoding=self.reserved)
+        c = Context(base=base or self.base, extensions=self.extensions, full_comparison=self.full, lexical_comparison=self.lexical_comparison, creator=self.creator, reference_encoding=self.reserved)
         if self.now:
             c.now = self.now
         return c
@@ -54,7 +57,7 @@ class Engine:
         return parse_query(text, self.base, self.prefixes)
 
     def lowering(self, q: Query) -> Lowering:
-        return Lowering(self.spark, self._sources(), self._context(q.base), self.services, q.from_default, q.from_named)
+        return Lowering(self.spark, self._sources(), self._context(q.base), self.services, q.from_default, q.from_named, self.opt_plus)
 
     def relation(self, q: Query, initial: dict[str, Term] | None = None) -> Rel:
         return self.lowering(q).lower(bind_initial(q.plan, initial or {}))

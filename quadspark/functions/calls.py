@@ -24,7 +24,7 @@ def compile_expr(e: object, scope: dict[str, tuple[Column, Enc]], c: Context) ->
                 return Val(X.NULL(TERM_DDL), "term")
             col, enc = scope[e.name]
             if enc.kind == "iri":
-                return Val(col, "iri", enc.template)
+                return Val(col, "iri", enc.template, key=enc.dt)
             if enc.kind == "lit" and enc.dt in X.TYPE_OF:
                 return Val(col, X.TYPE_OF[enc.dt])
             return Val(X.box(col, enc), "term")
@@ -49,8 +49,9 @@ def call(e: Call, scope: dict, c: Context) -> Val:
         return OPERATORS[name](c, *args)
     if name in X.CASTS:
         return X.cast(name, args[0])
-    if name in c.extensions:
-        out = c.extensions[name](*[a.col if a.t != "term" else a.col["v"] for a in args])
+    function = c.extensions.get(name) or (c.creator(name) if c.creator else None)
+    if function is not None:
+        out = function(*[a.col if a.t != "term" else a.col["v"] for a in args])
         return out if isinstance(out, Val) else Val(out.cast("string"), "string") if not isinstance(out, tuple) else Val(*out)
     raise ValueError(f"unknown function {name}")
 
@@ -61,7 +62,7 @@ def boolean(f: Callable[..., Column]) -> Callable[..., Val]:
 
 def common(vals: list[Val]) -> tuple[list[Column], str, str | None]:
     """The values as columns of one encoding."""
-    kinds = {(v.t, v.template) for v in vals}
+    kinds = {(v.t, v.template, v.key) for v in vals}
     if len(kinds) == 1 and "term" not in {v.t for v in vals}:
         return [v.col for v in vals], vals[0].t, vals[0].template
     if all(v.t in X.NUMERIC and v.t == vals[0].t for v in vals):
@@ -307,7 +308,7 @@ def bnode(c: Context, label: Val | None = None) -> Val:
 
 OPERATORS: dict[str, Callable[..., Val]] = {
     "&&": boolean(lambda c, a, b: X.ebv(a) & X.ebv(b)), "||": boolean(lambda c, a, b: X.ebv(a) | X.ebv(b)), "!": boolean(lambda c, a: ~X.ebv(a)),
-    "=": boolean(lambda c, a, b: X.eq(a, b)), "!=": boolean(lambda c, a, b: ~X.eq(a, b)), "<": boolean(lambda c, a, b: X.lt(a, b, c)), ">": boolean(lambda c, a, b: X.lt(b, a, c)),
+    "=": boolean(lambda c, a, b: X.eq(a, b, c.lexical_comparison)), "!=": boolean(lambda c, a, b: ~X.eq(a, b, c.lexical_comparison)), "<": boolean(lambda c, a, b: X.lt(a, b, c)), ">": boolean(lambda c, a, b: X.lt(b, a, c)),
     "<=": boolean(lambda c, a, b: X.le(a, b, c)), ">=": boolean(lambda c, a, b: X.le(b, a, c)),
     "+": lambda c, a, b: X.arithmetic("+", a, b), "-": lambda c, a, b: X.arithmetic("-", a, b), "*": lambda c, a, b: X.arithmetic("*", a, b), "/": lambda c, a, b: X.arithmetic("/", a, b),
     "u-": lambda c, a: X.unary_number(a, lambda x, t: -x), "u+": lambda c, a: X.unary_number(a, lambda x, t: x),

@@ -35,6 +35,7 @@ class Val:
     t: str
     template: str | None = None
     const: Term | None = None
+    key: str | None = None  # the datatype of a template's key, where it is known
 
     def term(self) -> Column:
         if self.const is not None:
@@ -47,7 +48,7 @@ class Val:
     def enc(self) -> Enc:
         if self.t == "term":
             return Enc("term")
-        return Enc("iri", self.template) if self.t == "iri" else Enc("lit", None, DT_OF[self.t])
+        return Enc("iri", self.template, self.key) if self.t == "iri" else Enc("lit", None, DT_OF[self.t])
 
     def iri_text(self) -> Column:
         return F.concat(F.lit(self.template), self.col.cast("string")) if self.template else self.col
@@ -64,6 +65,8 @@ class Context:
     now: str = field(default_factory=lambda: dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
     extensions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     full_comparison: bool = False
+    lexical_comparison: bool = False  # literals of one datatype that are ill-typed compare by their text
+    creator: Callable[[str], Callable[..., Column] | None] | None = None  # makes extension functions by name
     reference_encoding: bool = False  # ENCODE_FOR_URI leaves reserved characters
     exists: dict[int, Column] = field(default_factory=dict)
 
@@ -221,7 +224,7 @@ def _no_nan(a: Column, b: Column, t: str, result: Column) -> Column:
     return F.when(F.isnan(a) | F.isnan(b), False).otherwise(result) if t in ("float", "double") else result
 
 
-def eq(a: Val, b: Val) -> Column:
+def eq(a: Val, b: Val, lexical_too: bool = False) -> Column:
     if a.t in NUMERIC and b.t in NUMERIC:
         x, y, t = promote(a, b)
         # Spark's NaN equals itself; with a constant that is a number it makes no difference
@@ -230,15 +233,20 @@ def eq(a: Val, b: Val) -> Column:
     if a.t == b.t and a.t in ("string", "boolean", "dateTime", "date"):
         return a.col == b.col
     if a.t == b.t == "iri":
+        for x, y in ((a, b), (b, a)):
+            if x.key == INTEGER and y.const is not None:  # a constant's key, so that the scan can use it
+                rest = y.const.v.removeprefix(x.template)
+                known = y.const.v.startswith(x.template) and len(rest) < 19 and rest.lstrip("-").isdigit() and str(int(rest)) == rest
+                return x.col == F.lit(int(rest)) if known else F.when(x.col.isNotNull(), False)
         return a.col == b.col if a.template == b.template else a.iri_text() == b.iri_text()
     if "term" not in (a.t, b.t):
         if "iri" in (a.t, b.t):
             return F.when(a.col.isNotNull() & b.col.isNotNull(), False)
         return NULL("boolean")
-    return eq_terms(a.term(), b.term())
+    return eq_terms(a.term(), b.term(), lexical_too)
 
 
-def eq_terms(x: Column, y: Column) -> Column:
+def eq_terms(x: Column, y: Column, lexical_too: bool = False) -> Column:
     nx, ny = term_number(x), term_number(y)
     lits = (x["k"] == LITERAL) & (y["k"] == LITERAL)
     same_dt = x["dt"] == y["dt"]
@@ -256,6 +264,7 @@ def eq_terms(x: Column, y: Column) -> Column:
         .when(same_dt & (x["dt"] == TIME), time_of(x["v"]) == time_of(y["v"]))
         .when(x["dt"].isin(*durations) & y["dt"].isin(*durations), (mx == my) & (sx == sy))
         .when(same, True)
+        .when(F.lit(False) if not lexical_too else same_dt, False)
     )
 
 
@@ -285,6 +294,7 @@ def lt(a: Val, b: Val, c: Context) -> Column:
         .when(same_dt & (x["dt"] == YEAR_MONTH), mx < my)
         .when(same_dt & (x["dt"] == DAY_TIME), sx < sy)
         .when((x["k"] == TRIPLE) & (y["k"] == TRIPLE), x["v"] < y["v"])
+        .when(same_dt if c.lexical_comparison else F.lit(False), x["v"] < y["v"])
     )
 
 
@@ -294,7 +304,7 @@ def le(a: Val, b: Val, c: Context) -> Column:
         return (x <= y) & ~F.isnan(y) if t in ("float", "double") and (b.const is None or b.const.v == "NaN") else x <= y
     if a.t == b.t and a.t in ("string", "boolean", "dateTime", "date"):
         return a.col <= b.col
-    return lt(a, b, c) | eq(a, b)
+    return lt(a, b, c) | eq(a, b, c.lexical_comparison)
 
 
 def sort_key(t: Column) -> Column:

@@ -12,6 +12,7 @@ from quadspark.functions.calls import compile_expr
 from quadspark.functions.expr import Context, Val
 from quadspark.operators.paths import lower_path
 from quadspark.operators.relation import Rel, cname, join, quoted, union
+from quadspark.operators.scratch import written
 from quadspark.plans.algebra import (
     Aggregate, Bgp, Call, Const, Distinct, Exists, Extend, Filter, Group, Join, LeftJoin, Minus, OrderBy, PathPattern, Pattern, Project, Reduced, Service, Slice, Union, Values, Var,
     expr_vars, in_scope, node_vars,
@@ -20,7 +21,8 @@ from quadspark.terms import DECIMAL, INTEGER, LITERAL, STRING, TERM_DDL, Enc, Te
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, sources: list, context: Context, services: dict[str, list] | None = None, default: tuple = (), named: tuple = ()) -> None:
+    def __init__(self, spark: SparkSession, sources: list, context: Context, services: dict[str, list] | None = None, default: tuple = (), named: tuple = (), opt_plus: bool = False) -> None:
+        self.opt_plus = opt_plus
         self.spark, self.sources, self.c, self.services = spark, sources, context, services or {}
         self.default, self.named = default, named
 
@@ -232,10 +234,28 @@ class Lowering:
 
     def left_join(self, p: LeftJoin) -> Rel:
         left, right = self.lower(p.left), self.lower(p.right)
+        if self.opt_plus:  # every left solution also by itself
+            inner = join(left, right, "inner", None if p.expr is None else lambda scope: F.coalesce(X.ebv(compile_expr(p.expr, scope, self.c)), F.lit(False)))
+            return union([left, inner])
         if p.expr is None:
             return join(left, right, "left") if not left.unit or right.vars else left
+        if exists_in(p.expr):
+            return self.left_join_exists(left, right, p.expr)
         return join(left, right, "left", lambda scope: F.coalesce(X.ebv(compile_expr(p.expr, scope, self.c)), F.lit(False)))
 
+    def left_join_exists(self, left: Rel, right: Rel, e: object) -> Rel:
+        """The expression needs whole solutions: those that meet it, and the left ones of which none does."""
+        numbered = written(left.df.withColumn(cname("!row"), F.monotonically_increasing_id()))
+        left = Rel(numbered, dict(left.vars) | {"!row": Enc("lit", None, INTEGER)}, set(left.nullable))
+        both = join(left, right)
+        names = list(both.vars)
+        flagged = self.with_exists(both, e)
+        met = Rel(flagged.df.where(X.ebv(compile_expr(e, flagged.scope(), self.c))), dict(flagged.vars), set(flagged.nullable)).only(names)
+        met = Rel(written(met.df), dict(met.vars), set(met.nullable))
+        rest = Rel(left.df.join(met.df.select(cname("!row")).distinct(), cname("!row"), "left_anti"), dict(left.vars), set(left.nullable))
+        names.remove("!row")
+        return union([met.only(names), rest.only([v for v in left.vars if v != "!row"])], names)
+
     def service(self, p: Service) -> Rel:
         """Only a registered name; a failure gives one solution without bindings if it is silent."""
         try:

@@ -38,8 +38,18 @@ def read_bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
 
 
-def read_rdf(spark: SparkSession, path: str, media_type: str | None = None, base: str | None = None, lenient: bool = False) -> DataFrame:
-    """Quads of a file, folder or glob. The format is told by media_type or each file's extension."""
+def read_rdf(spark: SparkSession, path: str | list[str], media_type: str | None = None, base: str | None = None, lenient: bool = False, attribute: bool = False) -> DataFrame:
+    """Quads of a file, folder or glob, or of several, which are then one source. The format is
+    told by media_type or each file's extension. lenient: broken files give nothing rather than
+    an error. attribute: with a column source, the path a quad was asked for by."""
+    if isinstance(path, list):
+        out = None
+        for p in path:
+            df = read_rdf(spark, p, media_type, base, lenient, attribute)
+            out = df if out is None else out.unionByName(df)
+        return out
+    if attribute:
+        return read_rdf(spark, path, media_type, base, lenient).withColumn("source", F.lit(path))
     kind = media_type or EXTENSIONS.get(path.rsplit(".", 1)[-1].lower())
     if kind in ("application/n-triples", "application/n-quads"):
         return read_lines(spark, path)
@@ -62,7 +72,8 @@ def _frame(text: str, media_type: str, base: str | None, lenient: bool) -> pd.Da
             raise
         found = []
     cell = lambda t: {"k": t.k, "v": t.v, "dt": t.dt, "lang": t.lang, "dir": t.dir}
-    return pd.DataFrame({"s": [cell(q[0]) for q in found], "p": [q[1] for q in found], "o": [cell(q[2]) for q in found], "g": [q[3] for q in found]})
+    columns = {"s": [cell(q[0]) for q in found], "p": [q[1] for q in found], "o": [cell(q[2]) for q in found], "g": [q[3] for q in found]}
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
 def read_column(df: DataFrame, text: str, media_type: str = "text/html", base: str | None = None) -> DataFrame:

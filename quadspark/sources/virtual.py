@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quadspark.operators.relation import Rel, cname, union
 from quadspark.plans.algebra import TripleTerm, Var
-from quadspark.terms import DATETIME, IRI, LITERAL, NUMERIC_TYPES, RDF, TERM_DDL, Enc, Term, box, datatype_of, term_col
+from quadspark.terms import DATETIME, INTEGER, IRI, LITERAL, NUMERIC_TYPES, RDF, TERM_DDL, Enc, Term, box, datatype_of, term_col
 
 TYPE = RDF + "type"
 
@@ -84,7 +84,7 @@ class TableSource:
                     col = col.cast("bigint")
                 out[f"{self.base}{m.name}#{f.name}"] = (col, Enc("lit", None, dt))
         for p, (c, other) in m.links.items():
-            out[f"{self.base}{m.name}#{p}"] = (F.col(c).cast("bigint"), Enc("iri", self.template(other)))
+            out[f"{self.base}{m.name}#{p}"] = (F.col(c).cast("bigint"), Enc("iri", self.template(other), INTEGER))
         return out
 
     def graph_iri(self, table: str) -> str:
@@ -141,7 +141,9 @@ class TableSource:
             cond.append(found)
             return True
 
-        if not place(s, self.key(m), Enc("iri", self.template(m.name))):
+        key = self.key(m)
+        whole = len(m.key) == 1 and datatype_of(df.schema[m.key[0]].dataType) in NUMERIC_TYPES
+        if not place(s, key, Enc("iri", self.template(m.name), INTEGER if whole else None)):
             return None
         for p, o in pairs:
             if isinstance(p, Term):

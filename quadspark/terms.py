@@ -102,7 +102,7 @@ def n3_col(t: Column) -> Column:
 @dataclass(frozen=True)
 class Enc:
     """How a variable's column is encoded. kind: term, iri or lit. template: what precedes an
-    IRI's key (None: the column is the IRI). dt: a literal's datatype."""
+    IRI's key (None: the column is the IRI). dt: a literal's datatype, or that of the key."""
 
     kind: str
     template: str | None = None

@@ -282,3 +282,61 @@ def test_quads_of_tables(spark, small):
     e = Engine(spark, QuadSource(q, union_default=True), prefixes={"n": "http://tpch/nation#", "r": "http://tpch/region#"})
     assert e.query("SELECT ?a ?b WHERE { ?x n:n_name ?a ; n:regionRef/r:r_name ?b }").count() == 25
     assert q.where(F.col("o.k") == 1).count() == 5 + 50
+
+
+def test_endpoint(spark, small):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import quote
+    from urllib.request import Request, urlopen
+
+    from quadspark.server import choose, serve
+
+    s = serve(Engine.over_tables(spark, small), 0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_port}/sparql"
+    q = "SELECT ?n WHERE { ?x region:r_name ?n FILTER(?n = 'ASIA') }"
+    with urlopen(Request(f"{at}?query={quote(q)}", headers={"Accept": "text/csv"})) as r:
+        assert r.read() == b"n\r\nASIA\r\n"
+    with urlopen(Request(at, data=q.encode(), headers={"Content-Type": "application/sparql-query"})) as r:
+        assert json.loads(r.read())["results"]["bindings"] == [{"n": {"type": "literal", "value": "ASIA"}}]
+    for bad, code in ((f"{at}?query=nonsense", 400), (at, 400), (at.replace("sparql", "other"), 404)):
+        with pytest.raises(HTTPError) as e:
+            urlopen(bad)
+        assert e.value.code == code
+    with pytest.raises(HTTPError) as e:
+        urlopen(Request(at, data=b"DROP ALL", headers={"Content-Type": "application/sparql-update"}))
+    assert e.value.code == 403
+    s.shutdown()
+    assert choose("text/csv;q=0.5, application/json", ["text/csv", "application/json"]) == "application/json" and choose("image/png", ["text/csv"]) is None
+
+
+def test_optional_with_exists(spark, small):
+    e = Engine.over_tables(spark, small)
+    got = e.query("SELECT ?k ?q WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:quality ?q FILTER EXISTS { ?d documents:lang 'en' } } }")
+    want = e.query("SELECT ?k ?q WHERE { ?d documents:doc_id ?k ; documents:lang ?g OPTIONAL { ?l labels:docRef ?d ; labels:quality ?q FILTER(?g = 'en') } }")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_iri_constants_reach_the_scan(spark, small):
+    e = Engine.over_tables(spark, small)
+    text = "SELECT ?n WHERE { ?c customer:c_name ?n FILTER(?c = <http://tpch/customer/7>) }"
+    assert "EqualTo(c_custkey,7)" in e.explain(text) and e.query(text).count() == 1
+    assert e.query(text.replace("/7>", "/07>")).count() == 0 and e.query(text.replace("customer/7>", "part/7>")).count() == 0
+
+
+def test_options(spark, small, tmp_path):
+    ex = {"prefixes": {"ex": "http://ex/"}}
+    assert Engine(spark, extension_creator=lambda n: F.upper if n.endswith("up") else None, **ex).query("SELECT (ex:up('a') AS ?x) {}").first()[0] == "A"
+    ask = "ASK { FILTER('b'^^ex:t > 'a'^^ex:t) }"
+    assert Engine(spark, **ex).query(ask) is False and Engine(spark, non_lexical_comparison=True, **ex).query(ask) is True
+    assert Engine(spark, full_term_comparison=True, **ex).query("ASK { FILTER(ex:b > ex:a) }") is True
+    plus = Engine.over_tables(spark, small, opt_plus=True).query("SELECT ?n ?c WHERE { ?x nation:n_name ?n OPTIONAL { ?y customer:nationRef ?x ; customer:c_custkey ?c } }")
+    assert plus.count() == 25 + spark.read.parquet(f"{small}/customer.parquet").count()
+    (tmp_path / "a.ttl").write_text("<http://x/a> <http://x/p> 1 .")
+    (tmp_path / "b.ttl").write_text("this is broken")
+    both = [str(tmp_path / "a.ttl"), str(tmp_path / "b.ttl")]
+    assert read_rdf(spark, both, lenient=True, attribute=True).select("source").first()[0] == both[0]
+    with pytest.raises(Exception, match="expected"):
+        read_rdf(spark, both).count()
+    assert Engine(spark, read_rdf(spark, both, lenient=True)).query("ASK { ?s ?p 1 }") is True
