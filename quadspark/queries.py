@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadspark.engine import Engine
+from quadspark.operators.scratch import shared_dir
 from quadspark.operators.update import Store
+from quadspark.plans.graphql import parse_graphql
 from quadspark.sources.quads import QuadSource
+from quadspark.sources.rdf_files import from_text, read_rdf
+from quadspark.sources.results import csv_lines, jsonld_text, nquads_lines, tsv_lines, turtle_text, write_nquads
 from quadspark.sources.virtual import TableSource
-from quadspark.terms import IRI, n3_col, term_col
+from quadspark.terms import IRI, literal, n3_col, term_col
 
 #: name -> (SPARQL over the tables as a virtual graph, SQL)
 SPARQL: dict[str, tuple[str, str]] = {
@@ -160,6 +164,46 @@ SPARQL: dict[str, tuple[str, str]] = {
     "from_named": ("SELECT ?g ?x FROM NAMED g:region WHERE { GRAPH ?g { ?x rdf:type ?t } }", "SELECT 'http://tpch/graph/region' AS g, 'http://tpch/region/' || r_regionkey AS x FROM region"),
     "extend_error": ("SELECT ?k ?bad WHERE { ?r region:r_regionkey ?k ; region:r_name ?n BIND(?n + 1 AS ?bad) }", "SELECT CAST(r_regionkey AS BIGINT) AS k, NULL::VARCHAR AS bad FROM region"),
     "json_props": ("SELECT ?k ?p WHERE { ?e events:event_id ?k ; events:props ?p ; events:event_type 'purchase' }", "SELECT event_id AS k, props AS p FROM events WHERE event_type = 'purchase'"),
+    "nop": ("SELECT (1 AS ?one) WHERE { }", "SELECT 1::BIGINT AS one"),
+    "cartesian": ("SELECT ?a ?b WHERE { ?x region:r_name ?a . ?y nation:n_name ?b }", "SELECT r_name AS a, n_name AS b FROM region, nation"),
+    "theta_join": ("SELECT ?a ?b WHERE { ?x supplier:s_suppkey ?a ; supplier:s_acctbal ?p . ?y region:r_regionkey ?b FILTER(?p > ?b * 2000) }", "SELECT s_suppkey AS a, CAST(r_regionkey AS BIGINT) AS b FROM supplier JOIN region ON s_acctbal > r_regionkey * 2000"),
+    "minus_undef": (
+        "SELECT ?k WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:toxic ?t } MINUS { VALUES ?t { 0 } } }",
+        "SELECT d.doc_id AS k FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL OR l.toxic <> 0",
+    ),
+    "time_parts": ("SELECT ?k (MINUTES(?t) AS ?m) (xsd:double(SECONDS(?t)) AS ?s) WHERE { ?e events:event_id ?k ; events:ts ?t }", "SELECT event_id AS k, minute(ts) AS m, microsecond(ts) / 1000000.0::DOUBLE AS s FROM events"),
+    "date_arithmetic": (
+        "SELECT ?k (STR(?d + 'P1DT2H'^^xsd:dayTimeDuration) AS ?a) (STR(?d - 'P1M'^^xsd:yearMonthDuration) AS ?b) WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d }",
+        "SELECT o_orderkey AS k, strftime(o_orderdate + INTERVAL 26 HOUR, '%Y-%m-%dT%H:%M:%S') AS a, strftime(o_orderdate - INTERVAL 1 MONTH, '%Y-%m-%dT%H:%M:%S') AS b FROM orders",
+    ),
+    "date_difference": ("SELECT ?k (STR(?d - '1995-01-01T00:00:00'^^xsd:dateTime) AS ?gap) WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d FILTER(?d > '1995-01-01T00:00:00'^^xsd:dateTime) }", "SELECT o_orderkey AS k, 'P' || date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) || 'D' AS gap FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01'"),
+    "timezones": ("SELECT (TZ('2011-01-10T14:45:13-05:00'^^xsd:dateTime) AS ?a) (STR(TIMEZONE('2011-01-10T14:45:13-05:00'^^xsd:dateTime)) AS ?b) WHERE { }", "SELECT '-05:00' AS a, '-PT5H' AS b"),
+    "date_casts": ("SELECT ?k (STR(xsd:date(?d)) AS ?a) (STR(xsd:time(STR(?d))) AS ?b) (STR(xsd:dateTime(STR(?d))) AS ?c) WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d }", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate, '%H:%M:%S') AS b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS c FROM orders"),
+    "duration_casts": ("SELECT (STR(xsd:dayTimeDuration('P1DT25H')) AS ?a) (STR(xsd:yearMonthDuration('P14M')) AS ?b) (STR(xsd:duration('P1Y')) AS ?c) WHERE { }", "SELECT 'P2DT1H' AS a, 'P1Y2M' AS b, 'P1Y' AS c"),
+    "number_casts": ("SELECT ?k (xsd:double(xsd:decimal(STR(?k))) AS ?a) (xsd:double(xsd:float(?k)) AS ?b) (xsd:integer(CONCAT('-', STR(?k))) AS ?c) WHERE { ?p part:p_partkey ?k }", "SELECT p_partkey AS k, CAST(p_partkey AS DOUBLE) AS a, CAST(p_partkey AS DOUBLE) AS b, -p_partkey AS c FROM part"),
+    "long_hashes": ("SELECT ?k (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) WHERE { ?s supplier:s_suppkey ?k ; supplier:s_name ?n }", "SELECT s_suppkey AS k, 96::BIGINT AS a, 128::BIGINT AS b FROM supplier"),
+    "fresh_values": ("SELECT ?k (STRLEN(STRUUID()) AS ?a) (isIRI(UUID()) AS ?b) (RAND() < 1 AS ?c) (isBLANK(BNODE()) AS ?d) (YEAR(NOW()) > 2000 AS ?e) WHERE { ?r region:r_regionkey ?k }", "SELECT CAST(r_regionkey AS BIGINT) AS k, 36::BIGINT AS a, true AS b, true AS c, true AS d, true AS e FROM region"),
+    "typed_literals": (
+        "SELECT ?k (STR(DATATYPE(STRDT(?n, xsd:token))) AS ?a) (LANGDIR(STRLANGDIR(?n, 'ar', 'rtl')) AS ?b) (hasLANG(STRLANG(?n, 'en')) AS ?c) (hasLANGDIR(STRLANG(?n, 'en')) AS ?d) WHERE { ?r region:r_regionkey ?k ; region:r_name ?n }",
+        "SELECT CAST(r_regionkey AS BIGINT) AS k, 'http://www.w3.org/2001/XMLSchema#token' AS a, 'rtl' AS b, true AS c, false AS d FROM region",
+    ),
+    "triple_terms": (
+        "SELECT ?k (SUBJECT(?t) AS ?s) (PREDICATE(?t) AS ?p) (OBJECT(?t) AS ?o) (isTRIPLE(?t) AS ?i) WHERE { ?r region:r_regionkey ?k ; region:r_name ?n BIND(TRIPLE(?r, region:r_name, ?n) AS ?t) }",
+        "SELECT CAST(r_regionkey AS BIGINT) AS k, 'http://tpch/region/' || r_regionkey AS s, 'http://tpch/region#r_name' AS p, r_name AS o, true AS i FROM region",
+    ),
+    "logic": ("SELECT ?k ((?z > 10 && ?z < 20) AS ?a) ((?z > 40 || !(?z = 1)) AS ?b) WHERE { ?p part:p_partkey ?k ; part:p_size ?z }", "SELECT p_partkey AS k, p_size > 10 AND p_size < 20 AS a, p_size > 40 OR NOT p_size = 1 AS b FROM part"),
+    "comparisons": ("SELECT ?k (?z != 5 AS ?a) (?z <= 7 AS ?b) (?n >= 'p' AS ?c) (-?z + +1 AS ?d) WHERE { ?p part:p_partkey ?k ; part:p_size ?z ; part:p_name ?n }", "SELECT p_partkey AS k, p_size <> 5 AS a, p_size <= 7 AS b, p_name >= 'p' AS c, CAST(-p_size + 1 AS BIGINT) AS d FROM part"),
+    "group_concat_distinct": ("SELECT ?s (GROUP_CONCAT(DISTINCT ?p; SEPARATOR='|') AS ?all) WHERE { ?o orders:o_orderstatus ?s ; orders:o_orderpriority ?p } GROUP BY ?s", "SELECT o_orderstatus AS s, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS all FROM orders GROUP BY 1"),
+    "aggregate_error": ("SELECT ?t (SUM(?v) AS ?bad) (COUNT(?v) AS ?n) WHERE { ?e events:event_type ?t ; ?p ?v FILTER(?p IN (events:value, events:event_type)) } GROUP BY ?t", "SELECT event_type AS t, NULL::VARCHAR AS bad, 2 * count(*) AS n FROM events GROUP BY 1"),
+    "aggregate_unbound": ("SELECT ?g (COUNT(?q) AS ?n) (SUM(?q) AS ?s) WHERE { ?d documents:lang ?g OPTIONAL { ?l labels:docRef ?d ; labels:quality ?q } } GROUP BY ?g", "SELECT lang AS g, count(quality) AS n, CAST(coalesce(sum(quality), 0) AS BIGINT) AS s FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"),
+    "avg_distinct": ("SELECT (ROUND(AVG(DISTINCT ?p)) AS ?m) (xsd:double(AVG(?z)) AS ?w) WHERE { ?x part:p_retailprice ?p ; part:p_size ?z }", "SELECT floor(avg(DISTINCT p_retailprice) + 0.5) AS m, avg(p_size) AS w FROM part"),
+    "filter_iri": ("SELECT ?k WHERE { ?o orders:o_orderkey ?k ; orders:custRef ?c FILTER(?c = <http://tpch/customer/11>) }", "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 11"),
+    "nested_select": ("SELECT ?name ?n WHERE { ?x nation:n_name ?name { SELECT ?x (COUNT(*) AS ?n) WHERE { ?s supplier:nationRef ?x } GROUP BY ?x HAVING(COUNT(*) > 1) } }", "SELECT n_name AS name, n FROM nation JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1) ON s_nationkey = n_nationkey"),
+    "exists_in_optional": (
+        "SELECT ?k ?q WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:quality ?q FILTER EXISTS { ?d documents:lang 'en' } } }",
+        "SELECT d.doc_id AS k, CAST(l.quality AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND d.lang = 'en'",
+    ),
+    "types": ("SELECT ?t (COUNT(*) AS ?n) WHERE { ?x a ?t FILTER(?t IN (t:region, t:nation, t:part)) } GROUP BY ?t", "SELECT 'http://tpch/region' AS t, count(*) AS n FROM region UNION ALL SELECT 'http://tpch/nation', count(*) FROM nation UNION ALL SELECT 'http://tpch/part', count(*) FROM part"),
 }
 
 
@@ -234,6 +278,104 @@ def service(spark: SparkSession, d: str) -> DataFrame:
     return e.query(f"SELECT ?name ?p WHERE {{ ?c customer:c_name ?name SERVICE <http://tree/> {{ ?c <{EDGE}> ?p }} }}")
 
 
+def _store(spark: SparkSession, d: str, tables: list[str], **options) -> tuple[Store, Engine]:  # noqa: ANN003
+    source = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+    store = Store(spark, source.quads(tables))
+    prefixes = {"t": "http://tpch/", "g": "http://tpch/graph/", "region": "http://tpch/region#", "nation": "http://tpch/nation#"}
+    return store, Engine(spark, store, prefixes=prefixes, **options)
+
+
+def _sizes(store: Store) -> DataFrame:
+    return store.quads.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def update_graphs(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Quads in each graph, after an update of a store with the graphs of region and nation."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        store, e = _store(spark, d, ["region", "nation"], load=lambda s: TableSource(lambda n: spark.read.parquet(f"{d}/{n}.parquet")).quads(["supplier"]))
+        e.update(text)
+        return _sizes(store)
+
+    return run
+
+
+def initial_bindings(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.over_tables(spark, d).query("SELECT ?k WHERE { ?o orders:o_orderkey ?k ; orders:o_orderstatus ?s }", {"s": literal("F")})
+
+
+def union_default_graph(spark: SparkSession, d: str) -> DataFrame:
+    source = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+    e = Engine(spark, QuadSource(source.quads(["region", "nation"]), union_default=True), prefixes={"r": "http://tpch/region#", "n": "http://tpch/nation#"})
+    return e.query("SELECT ?a ?b WHERE { ?x n:n_name ?a ; n:regionRef ?y . ?y r:r_name ?b }")
+
+
+def nquads_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as N-Quads, read again, queried."""
+    path = shared_dir(spark)
+    write_nquads(TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet")).quads(["customer"]), path)
+    e = Engine(spark, read_rdf(spark, path, "application/n-quads"), prefixes={"c": "http://tpch/customer#"})
+    return e.query("SELECT ?k ?n ?s WHERE { GRAPH <http://tpch/graph/customer> { ?x c:c_custkey ?k ; c:c_name ?n ; c:c_mktsegment ?s } }")
+
+
+def turtle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    quads = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet")).quads(["nation"], named=False)
+    e = Engine(spark, from_text(spark, turtle_text(quads, {"n": "http://tpch/nation#"})), prefixes={"n": "http://tpch/nation#"})
+    return e.query("SELECT ?k ?name WHERE { ?x n:n_nationkey ?k ; n:n_name ?name ; n:regionRef <http://tpch/region/1> }")
+
+
+def jsonld_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    quads = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet")).quads(["region"], named=False)
+    e = Engine(spark, from_text(spark, jsonld_text(quads), "application/ld+json"), prefixes={"r": "http://tpch/region#"})
+    return e.query("SELECT ?x ?name WHERE { ?x r:r_name ?name }")
+
+
+def csv_result(spark: SparkSession, d: str) -> DataFrame:
+    return csv_lines(Engine.over_tables(spark, d).bindings("SELECT ?x ?n WHERE { ?x supplier:s_name ?n }"))
+
+
+def tsv_result(spark: SparkSession, d: str) -> DataFrame:
+    return tsv_lines(Engine.over_tables(spark, d).bindings("SELECT ?k ?n WHERE { ?x supplier:s_suppkey ?k ; supplier:s_name ?n }"))
+
+
+def nquads_result(spark: SparkSession, d: str) -> DataFrame:
+    return nquads_lines(Engine.over_tables(spark, d).query("CONSTRUCT { ?x <http://x/name> ?n } WHERE { ?x supplier:s_name ?n }"))
+
+
+def graphql(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine.over_tables(spark, d)
+    context = {"name": "http://tpch/nation#n_name", "region": "http://tpch/nation#regionRef", "called": "http://tpch/region#r_name", "suppliers": {"@reverse": "http://tpch/supplier#nationRef"}, "label": "http://tpch/supplier#s_name"}
+    e.parse = lambda text: parse_graphql(text, context)
+    return e.query("{ name region { called } suppliers @optional { label } }")
+
+
+def distinct_construct(spark: SparkSession, d: str) -> DataFrame:
+    q = Engine.over_tables(spark, d, distinct_construct=True).query("CONSTRUCT { ?n <http://x/in> ?r } WHERE { ?c customer:nationRef ?n . ?n nation:regionRef ?r }")
+    return q.select(F.col("s.v").alias("s"), "p", F.col("o.v").alias("o"))
+
+
+def opt_plus(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.over_tables(spark, d, opt_plus=True).query("SELECT ?n ?k WHERE { ?x nation:n_name ?n OPTIONAL { ?s supplier:nationRef ?x ; supplier:s_suppkey ?k } }")
+
+
+def extension_function(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.over_tables(spark, d, extensions={"http://x/reverse": F.reverse}).query("SELECT ?k (<http://x/reverse>(?n) AS ?r) WHERE { ?x region:r_regionkey ?k ; region:r_name ?n }")
+
+
+def service_silent(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.over_tables(spark, d).query("SELECT ?n WHERE { ?x region:r_name ?n SERVICE SILENT <http://nowhere/> { ?x ?p ?o } }")
+
+
+def full_term_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.over_tables(spark, d, full_term_comparison=True).query("SELECT ?n WHERE { ?x region:r_name ?n FILTER(?x > <http://tpch/region/2>) }")
+
+
+def serialized(spark: SparkSession, d: str) -> DataFrame:
+    """A query is read, written as text again, and that is run."""
+    e = Engine.over_tables(spark, d)
+    return e.query(e.explain(SPARQL["optional_expr"][0], "sparql"))
+
+
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -252,6 +394,28 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "boxed_terms": (boxed_terms, f"SELECT '<http://tpch/region/' || r_regionkey || '>' AS r, '\"' || r_regionkey || '{_INT}' AS k, '\"' || r_name || '\"' AS n FROM region"),
     "two_sources": (two_sources, "SELECT a.c_name AS name, b.c_name AS up FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey // 2 WHERE a.c_custkey > 1"),
+    "initial_bindings": (initial_bindings, "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'"),
+    "union_default_graph": (union_default_graph, "SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "update_clear": (update_graphs("CLEAR GRAPH g:region"), "SELECT 'http://tpch/graph/nation' AS g, 5 * count(*) AS n FROM nation"),
+    "update_drop_create": (update_graphs("DROP GRAPH g:nation ; CREATE GRAPH g:new ; DROP SILENT GRAPH g:none"), "SELECT 'http://tpch/graph/region' AS g, 3 * count(*) AS n FROM region"),
+    "update_copy": (update_graphs("COPY g:region TO g:nation"), "SELECT unnest(['http://tpch/graph/region', 'http://tpch/graph/nation']) AS g, 3 * count(*) AS n FROM region"),
+    "update_move": (update_graphs("MOVE g:nation TO DEFAULT"), "SELECT '' AS g, 5 * count(*) AS n FROM nation UNION ALL SELECT 'http://tpch/graph/region', 3 * count(*) FROM region"),
+    "update_add": (update_graphs("ADD g:region TO g:nation"), "SELECT 'http://tpch/graph/nation' AS g, 5 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM region) AS n UNION ALL SELECT 'http://tpch/graph/region', 3 * count(*) FROM region"),
+    "update_load": (update_graphs("DROP ALL ; LOAD <doc> INTO GRAPH g:loaded"), "SELECT 'http://tpch/graph/loaded' AS g, 6 * count(*) AS n FROM supplier"),
+    "update_where": (update_graphs("WITH g:nation DELETE { ?x nation:regionRef ?r } INSERT { GRAPH g:links { ?x t:in ?r } } WHERE { ?x nation:regionRef ?r }"), "SELECT 'http://tpch/graph/nation' AS g, 4 * count(*) AS n FROM nation UNION ALL SELECT 'http://tpch/graph/links', count(*) FROM nation UNION ALL SELECT 'http://tpch/graph/region', 3 * count(*) FROM region"),
+    "nquads_round_trip": (nquads_round_trip, "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS n, c_mktsegment AS s FROM customer"),
+    "turtle_round_trip": (turtle_round_trip, "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation WHERE n_regionkey = 1"),
+    "jsonld_round_trip": (jsonld_round_trip, "SELECT 'http://tpch/region/' || r_regionkey AS x, r_name AS name FROM region"),
+    "csv_result": (csv_result, "SELECT 'http://tpch/supplier/' || s_suppkey || ',' || s_name AS value FROM supplier"),
+    "tsv_result": (tsv_result, "SELECT s_suppkey || chr(9) || '\"' || s_name || '\"' AS value FROM supplier"),
+    "nquads_result": (nquads_result, "SELECT '<http://tpch/supplier/' || s_suppkey || '> <http://x/name> \"' || s_name || '\" .' AS value FROM supplier"),
+    "graphql": (graphql, "SELECT n_name AS name, r_name AS region_called, s_name AS suppliers_label FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    "distinct_construct": (distinct_construct, "SELECT DISTINCT 'http://tpch/nation/' || n_nationkey AS s, 'http://x/in' AS p, 'http://tpch/region/' || n_regionkey AS o FROM nation JOIN customer ON c_nationkey = n_nationkey"),
+    "opt_plus": (opt_plus, "SELECT n_name AS n, NULL::BIGINT AS k FROM nation UNION ALL SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey"),
+    "extension_function": (extension_function, "SELECT CAST(r_regionkey AS BIGINT) AS k, reverse(r_name) AS r FROM region"),
+    "service_silent": (service_silent, "SELECT r_name AS n FROM region"),
+    "full_term_comparison": (full_term_comparison, "SELECT r_name AS n FROM region WHERE r_regionkey > 2"),
+    "serialized": (serialized, SPARQL["optional_expr"][1]),
     "service": (service, f"SELECT c_name AS name, {_IRI}(c_custkey // 2) AS p FROM customer WHERE c_custkey > 1"),
 }
 

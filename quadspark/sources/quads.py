@@ -31,6 +31,18 @@ def rows(spark: SparkSession, quads: list[tuple[Term, str, Term, str]]) -> DataF
     return spark.createDataFrame([(cell(s), p, cell(o), g) for s, p, o, g in quads], QUADS)
 
 
+def write_by_predicate(quads: DataFrame, path: str) -> None:
+    """A folder for each predicate, so that a pattern reads only its own; within it rows are
+    sorted by subject, so that a constant subject skips most row groups. Quads of one predicate
+    are dealt over several tasks: a common predicate is no hot one."""
+    spread = quads.withColumn("_part", F.pmod(F.xxhash64("s"), F.lit(16))).repartition("p", "_part").drop("_part")
+    spread.sortWithinPartitions("p", "s.v").write.partitionBy("p").parquet(path)
+
+
+def read_by_predicate(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("s struct<k:int,v:string,dt:string,lang:string,dir:string>, o struct<k:int,v:string,dt:string,lang:string,dir:string>, g string, p string").parquet(path).select("s", "p", "o", "g")
+
+
 class QuadSource:
     """union_default: the default graph is the union of all, each triple once."""
 

@@ -52,7 +52,9 @@ class TableSource:
     """load: table name -> DataFrame. Only the tables that a query uses are loaded."""
 
     def __init__(self, load: Callable[[str], DataFrame], maps: tuple[TableMap, ...] = TPCH, base: str = "http://tpch/") -> None:
-        self.load, self.maps, self.base, self.cache = load, {m.name: m for m in maps}, base, {}
+        self.load, self.maps, self.base = load, {m.name: m for m in maps}, base
+        self.cache: dict[str, DataFrame] = {}
+        self.known: dict[str, dict[str, tuple[str, Enc]]] = {}
 
     def frame(self, name: str) -> DataFrame:
         if name not in self.cache:
@@ -71,21 +73,24 @@ class TableSource:
             return F.concat_ws("/", *[F.col(c).cast("string") for c in m.key])
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f.name).cast("string"), F.lit("\x00")) for f in df.schema]), 256)
 
-    def predicates(self, m: TableMap) -> dict[str, tuple[Column, Enc]]:
-        """Predicate IRI -> its column."""
-        out = {}
-        for f in self.frame(m.name).schema:
-            dt = datatype_of(f.dataType)
-            if dt is not None:
-                col = F.col(f.name)
-                if dt == DATETIME:
-                    col = col.cast("timestamp_ntz")
-                elif dt.endswith("integer"):
-                    col = col.cast("bigint")
-                out[f"{self.base}{m.name}#{f.name}"] = (col, Enc("lit", None, dt))
-        for p, (c, other) in m.links.items():
-            out[f"{self.base}{m.name}#{p}"] = (F.col(c).cast("bigint"), Enc("iri", self.template(other), INTEGER))
-        return out
+    def predicates(self, m: TableMap) -> dict[str, tuple[str, Enc]]:
+        """Predicate IRI -> the name of its column, and how it is encoded."""
+        if m.name not in self.known:
+            out = {}
+            for f in self.frame(m.name).schema:
+                dt = datatype_of(f.dataType)
+                if dt is not None:
+                    out[f"{self.base}{m.name}#{f.name}"] = (f.name, Enc("lit", None, dt))
+            for p, (c, other) in m.links.items():
+                out[f"{self.base}{m.name}#{p}"] = (c, Enc("iri", self.template(other), INTEGER))
+            self.known[m.name] = out
+        return self.known[m.name]
+
+    def column(self, m: TableMap, name: str, enc: Enc) -> Column:
+        """Integers as bigint, timestamps without a zone."""
+        col, t = F.col(name), self.frame(m.name).schema[name].dataType.simpleString()
+        want = {DATETIME: "timestamp_ntz", INTEGER: "bigint"}.get(enc.dt)
+        return col if want in (None, t) else col.cast(want)
 
     def graph_iri(self, table: str) -> str:
         return f"{self.base}graph/{table}"
@@ -153,13 +158,14 @@ class TableSource:
                     continue
                 if p.v not in known:
                     return None
-                col, enc = known[p.v]
+                name, enc = known[p.v]
+                col = self.column(m, name, enc)
                 cond.append(col.isNotNull())
                 if not place(o, col, enc):
                     return None
                 continue
             # a variable predicate: the row's columns one below the other
-            every = [F.struct(F.lit(iri).alias("p"), box(c, e).alias("o")) for iri, (c, e) in known.items()]
+            every = [F.struct(F.lit(iri).alias("p"), box(self.column(m, c, e), e).alias("o")) for iri, (c, e) in known.items()]
             every.append(F.struct(F.lit(TYPE).alias("p"), term_col(IRI, F.lit(f"{self.base}{m.name}")).alias("o")))
             name = f"__po{exploded}"
             exploded += 1

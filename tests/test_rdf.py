@@ -340,3 +340,16 @@ def test_options(spark, small, tmp_path):
     with pytest.raises(Exception, match="expected"):
         read_rdf(spark, both).count()
     assert Engine(spark, read_rdf(spark, both, lenient=True)).query("ASK { ?s ?p 1 }") is True
+
+
+def test_store_by_predicate(spark, small, tmp_path):
+    from quadspark.sources.quads import read_by_predicate, write_by_predicate
+
+    q = TableSource(lambda n: spark.read.parquet(f"{small}/{n}.parquet")).quads(["nation"], named=False)
+    write_by_predicate(q, str(tmp_path / "q"))
+    back = read_by_predicate(spark, str(tmp_path / "q"))
+    assert back.exceptAll(q).count() == q.exceptAll(back).count() == 0
+    e = Engine(spark, back, prefixes={"n": "http://tpch/nation#"})
+    plan = e.explain("SELECT ?x WHERE { ?x n:n_name 'NATION_3' }")
+    assert "PartitionFilters: [isnotnull(p" in plan and "EqualTo(o.v,NATION_3)" in plan
+    assert e.query("SELECT ?x WHERE { ?x n:n_name 'NATION_3' }").collect() == [("http://tpch/nation/3",)]
