@@ -460,11 +460,15 @@ PARSERS = {
     "text/turtle": parse_turtle, "application/trig": parse_turtle, "text/n3": parse_turtle, "application/n-triples": parse_nquads, "application/n-quads": parse_nquads, "application/ld+json": parse_jsonld, "application/json": parse_jsonld, "application/rdf+xml": parse_rdfxml,
     "text/html": parse_html, "application/xhtml+xml": parse_html, "image/svg+xml": parse_html, "application/xml": parse_html, "text/xml": parse_html,
 }
-EXTENSIONS = {"ttl": "text/turtle", "turtle": "text/turtle", "trig": "application/trig", "n3": "text/n3", "nt": "application/n-triples", "nq": "application/n-quads", "jsonld": "application/ld+json", "json": "application/ld+json", "rdf": "application/rdf+xml", "rdfxml": "application/rdf+xml", "owl": "application/rdf+xml", "xml": "application/rdf+xml", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "svg": "image/svg+xml"}
+EXTENSIONS = {"ttl": "text/turtle", "turtle": "text/turtle", "trig": "application/trig", "n3": "text/n3", "nt": "application/n-triples", "nq": "application/n-quads", "jsonld": "application/ld+json", "json": "application/ld+json", "rdf": "application/rdf+xml", "rdfxml": "application/rdf+xml", "owl": "application/rdf+xml", "xml": "application/rdf+xml", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "svg": "image/svg+xml", "shaclc": "text/shaclc", "shc": "text/shaclc"}
 
 
 def parse(text: str, media_type: str, base: str | None = None) -> list[Quad]:
     """Blank node labels are made unique for the document."""
+    if media_type == "text/shaclc":
+        from quadspark.sources.shaclc import parse_shaclc
+
+        return list(parse_shaclc(text, base, "d" + hashlib.sha1(text.encode()).hexdigest()[:10] + "x"))
     if media_type not in PARSERS:
         raise ValueError(f"no parser for {media_type}")
     scope = "d" + hashlib.sha1((base or "").encode() + text.encode()).hexdigest()[:10] + "x"

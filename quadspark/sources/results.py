@@ -236,6 +236,13 @@ def jsonld_text(quads: DataFrame) -> str:
     return json.dumps(out, ensure_ascii=False)
 
 
+def shaclc_text(quads: DataFrame, prefixes: dict[str, str] | None = None) -> str:
+    """Shapes in compact syntax."""
+    from quadspark.sources.shaclc import shaclc_text as write
+
+    return write([(term_of(r["s"]), r["p"], term_of(r["o"]), r["g"]) for r in quads.toLocalIterator()], prefixes)
+
+
 BINDINGS = {
     "application/sparql-results+json": sparql_json_text, "application/sparql-results+xml": sparql_xml_text, "text/csv": csv_text, "text/tab-separated-values": tsv_text, "application/json": plain_json_text, "simple": simple_text, "table": table_text,
     "tree": tree_text, "stats": stats_text,

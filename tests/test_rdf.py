@@ -353,3 +353,18 @@ def test_store_by_predicate(spark, small, tmp_path):
     plan = e.explain("SELECT ?x WHERE { ?x n:n_name 'NATION_3' }")
     assert "PartitionFilters: [isnotnull(p" in plan and "EqualTo(o.v,NATION_3)" in plan
     assert e.query("SELECT ?x WHERE { ?x n:n_name 'NATION_3' }").collect() == [("http://tpch/nation/3",)]
+
+
+def test_shapes_in_compact_syntax(spark):
+    doc = """PREFIX ex: <http://ex/>
+    shape ex:PersonShape -> ex:Person { closed=true ignoredProperties=[rdf:type] . ex:ssn xsd:string [0..1] pattern="^\\\\d{3}$" . ^ex:worksFor|ex:paid IRI @ex:CompanyShape ex:Company|ex:Firm [1..*] . ex:address BlankNode { ex:city xsd:string [1..1] . } . ex:n !xsd:integer . }
+    shapeClass ex:CompanyShape { ex:name [1..1] in=["a" "b"@en 3] . }"""
+    got = n3(parse(doc, "text/shaclc"))
+    sh = "http://www.w3.org/ns/shacl#"
+    assert ("<http://ex/PersonShape>", sh + "targetClass", "<http://ex/Person>", "") in got and ("<http://ex/CompanyShape>", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "<http://www.w3.org/2000/01/rdf-schema#Class>", "") in got
+    assert {p for _, p, _, _ in got} >= {sh + p for p in ("property", "path", "minCount", "maxCount", "datatype", "or", "not", "node", "inversePath", "alternativePath", "closed", "ignoredProperties", "pattern", "nodeKind", "in", "class")}
+    again = n3(parse(results.shaclc_text(from_text(spark, doc, "text/shaclc"), {"ex": "http://ex/"}), "text/shaclc"))
+    count = lambda q: sorted((p, o if not o.startswith("_:") else "") for _, p, o, _ in q)
+    assert count(again) == count(got)
+    with pytest.raises(ParseError):
+        parse("shape <http://x/s> { nonsense=1 . }", "text/shaclc")
