@@ -17,13 +17,12 @@ algorithm, on tables.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, small_side, written
+from quadspark.llm.common import bounded_batches, row_key, small_side, written
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
 #: Bits of the ring's segments, from the lowest.
@@ -50,13 +49,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+        kept = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(values)], names=[*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed long. keyed: also _r1, _r2, by which a row is found again."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = rows.select("*", *row_key(F.col("doc_id"), F.col("text"))) if keyed else rows
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in rows.columns if c != "text") + ", fp long")
 
 
 def ring(segments: tuple[int, ...] = SEGMENTS) -> list[tuple[int, int]]:
@@ -205,19 +207,20 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (smallest doc_id of its component), root.
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, keyed: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, fp, component_id (smallest doc_id of its component), root (and
+    with keyed _r1, _r2).
 
     A null text, or one without words, has fingerprint 0 and is linked like any other. Null
     ids don't count as smallest; a component of null ids alone has component_id null.
     Repeated rows give repeated results, an empty table none; other columns are not looked at."""
-    prints = written(fingerprints(docs))
+    prints = written(fingerprints(docs, keyed))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = written(components(links(distinct.select("fp"), distance)))
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = written(rooted.join(firsts, "root").select(F.col("fp").alias("of"), "component_id", "root"))
-    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "fp", "component_id", "root")
+    return prints.join(named, prints["fp"] == named["of"]).select(*prints.columns, "component_id", "root")
 
 
 def near_duplicates_digest(docs: DataFrame) -> DataFrame:
@@ -225,22 +228,9 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs without all but one of each group: the smallest doc_id stays (nulls last). Of rows
-    with that id in the group, equal in fingerprint, one stays."""
-    found = near_duplicates(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
-    keep = written(found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_keep_id"), F.col("best.fp").alias("_keep_fp")))
-    # a document that stays is found by its id; fingerprints tell rows with equal ids apart
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep_id"]))
-    return _one_each(kept, docs)
-
-
-def _one_each(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    out = kept.select("row", "_keep_id", "_keep_fp", F.pandas_udf(_fp_of, "long")("_text").alias("_fp")).where("_fp = _keep_fp").dropDuplicates(["_keep_id", "_keep_fp"])
-    return out.select("row.*")
-
-
-def _fp_of(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    """docs without all but one of each group: the smallest doc_id stays (nulls last; of rows
+    with that id one by fingerprint and content; of rows equal in id and text any one)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_r1", "_r2")).alias("best")
+    keep = written(near_duplicates(docs, keyed=True).groupBy("root").agg(best).select("best._r1", "best._r2"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(F.col("doc_id").cast("long"), F.col("text")))
+    return rows.join(keep, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("row.*")
