@@ -27,6 +27,8 @@ from quadspark.llm.common import bounded_batches, shared_dir, small_side, writte
 #: Bytes after which a writer starts another archive; bytes of a range that one task reads.
 ROLL, RANGE = 64 << 20, 4 << 20
 BLOCK = 256 << 10
+#: Tasks that the ranges are dealt to, at most; each reads its ranges one after the other.
+MOST_TASKS = 50_000
 MOST_HEADER = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 PAGE = "<urn:quadspark:page:{}>"
@@ -287,8 +289,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True, range_bytes: i
     bounded_batches(archives.sparkSession)
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes))).alias("low")).where("size > 0")
     ranges = ranges.select("path", "size", "low", F.least(F.col("low") + range_bytes, F.col("size")).alias("high"))
-    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, 1)
-    found = written(ranges.repartition(max(tasks, int(ranges.count())), "path", "low").mapInArrow(_read(with_payload), FIELDS))
+    found = written(ranges.repartition(max(1, min(MOST_TASKS, ranges.count())), "path", "low").mapInArrow(_read(with_payload), FIELDS))
     before = F.coalesce(F.max("stop").over(Window.partitionBy("path").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = found.where("gap IS NULL").select("path", "start", "stop").withColumn("before", before)
     nested = written(places.where("start < before").select("path", "start"))
