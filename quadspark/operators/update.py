@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadspark.operators.lower import Lowering
@@ -15,13 +15,21 @@ from quadspark.sources.quads import QUADS, QuadSource, rows
 from quadspark.terms import BNODE, Term
 
 
+KEYS = ["s", "p", "o", "g"]
+#: Changes after which the store is written anew.
+COMPACT = 8
+
+
 class Store:
-    """A dataset that can be changed. Quads are a set; graphs may exist without quads."""
+    """A dataset that can be changed. Quads are a set (is_set: those given are one already); graphs
+    may exist without quads."""
 
-    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, graphs: set[str] | None = None, union_default: bool = False, read_only: bool = False) -> None:
+    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, graphs: set[str] | None = None, union_default: bool = False, read_only: bool = False, is_set: bool = False) -> None:
         self.spark, self.union_default, self.read_only = spark, union_default, read_only
-        self.quads = spark.createDataFrame([], QUADS) if quads is None else quads.select("s", "p", "o", F.coalesce("g", F.lit("")).alias("g"))
+        given = spark.createDataFrame([], QUADS) if quads is None else quads.select("s", "p", "o", F.coalesce("g", F.lit("")).alias("g"))
+        self.quads = given if quads is None or is_set else given.distinct()
         self.graphs: set[str] = set(graphs or ())
+        self.pending = 0  # changes since the store was one table
 
     @property
     def source(self) -> QuadSource:
@@ -31,17 +39,27 @@ class Store:
         """The graphs that exist: some were made, others have quads."""
         return self.graphs | {r["g"] for r in self.quads.where("g <> ''").select("g").distinct().collect()}
 
-    def replace(self, df: DataFrame) -> None:
-        self.quads = written(df.distinct())
+    def keep(self, cond: Column) -> None:
+        """Quads that don't meet the condition go."""
+        self._now(self.quads.where(cond))
 
     def change(self, delete: DataFrame | None, insert: DataFrame | None) -> None:
-        """Deletions come first."""
-        df = self.quads
+        """Deletions come first. Only what changes is written; the rest of the store stays where
+        it is, until COMPACT changes have come together."""
         if delete is not None:
-            df = df.join(delete.distinct(), ["s", "p", "o", "g"], "left_anti")
+            self._now(self.quads.join(written(delete.distinct()), KEYS, "left_anti"))
         if insert is not None:
-            df = df.select("s", "p", "o", "g").unionByName(insert)
-        self.replace(df)
+            new = insert.select(*KEYS).distinct().join(self.quads, KEYS, "left_anti").select(*KEYS)
+            self._now(self.quads.select(*KEYS).unionByName(written(new)))
+
+    def _now(self, df: DataFrame) -> None:
+        self.quads, self.pending = df, self.pending + 1
+        if self.pending >= COMPACT:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the store as one table."""
+        self.quads, self.pending = written(self.quads), 0
 
 
 def run_updates(store: Store, updates: Updates, context, load: Callable[[str], DataFrame] | None = None) -> None:  # noqa: ANN001
@@ -80,7 +98,7 @@ def _run(store: Store, u: Update, context, load) -> None:  # noqa: ANN001
             cond = {"DEFAULT": F.col("g") != "", "NAMED": F.col("g") == "", "ALL": F.lit(False)}.get(u.target, F.col("g") != u.target)
             if u.kind == "clear":
                 store.graphs |= store.named()
-            store.replace(store.quads.where(cond))
+            store.keep(cond)
             if u.kind == "drop":
                 store.graphs -= {u.target} if u.target not in ("NAMED", "ALL") else set(store.graphs)
         case "create":
@@ -95,11 +113,12 @@ def _run(store: Store, u: Update, context, load) -> None:  # noqa: ANN001
             if source and source not in store.named():
                 raise KeyError(f"no graph {source}")
             moved = store.quads.where(F.col("g") == source).select("s", "p", "o", F.lit(target).alias("g"))
-            kept = store.quads if u.kind == "add" else store.quads.where(F.col("g") != target)
+            if u.kind != "add":
+                store.keep(F.col("g") != target)
+            store.change(None, moved)
             if u.kind == "move":
-                kept = kept.where(F.col("g") != source)
+                store.keep(F.col("g") != source)
                 store.graphs.discard(source)
-            store.replace(kept.unionByName(moved))
         case _:
             raise ValueError(f"unknown update {u.kind}")
 

@@ -147,6 +147,10 @@ def test_updates(spark):
     assert store.quads.count() == 0
     with pytest.raises(PermissionError):
         Engine(spark, Store(spark, read_only=True)).update("DROP ALL")
+    twice = from_text(spark, "<http://x/a> <http://x/p> 1 .")
+    e = Engine(spark, Store(spark, twice.union(twice)), prefixes={"": "http://x/"})
+    e.update(" ; ".join(f"INSERT DATA {{ :a :p {i} }}" for i in (1, 2, 2, 3)) + " ; DELETE DATA { :a :p 3 } ; INSERT DATA { :a :p 3 }")
+    assert e.query("SELECT * WHERE { :a :p ?o }").count() == 3
 
 
 def test_datasets(spark):
