@@ -35,6 +35,7 @@ class Rule:
     pattern: str
     least: int = 0  # characters that a match must have,
     group: int = 0  # in this group
+    scan: str | None = None  # a pattern that finds just the matches that are long enough, with fewer steps
 
 
 NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")])
@@ -42,7 +43,7 @@ NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")),
 BASE = (
     Rule("assign", rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("hex", r"[0-9a-f]+", 24, scan=r"[0-9a-f]{24,}"),  # either takes whole runs
 )
 #: Further kinds.
 MORE = (
@@ -170,7 +171,7 @@ def _scan(base: tuple[Rule, ...], more: tuple[Rule, ...]):
     rules = (*base, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r in rules]
+        compiled = [re.compile(r.scan or r.pattern) for r in rules]
         queries = [trigram_query(r.pattern) for r in rules]
         trigrams = {g for q in queries if q is not None for clause in q for g in clause}
         for b in batches:
