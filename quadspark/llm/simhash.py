@@ -228,9 +228,13 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs without all but one of each group: the smallest doc_id stays (nulls last; of rows
-    with that id one by fingerprint and content; of rows equal in id and text any one)."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_r1", "_r2")).alias("best")
-    keep = written(near_duplicates(docs, keyed=True).groupBy("root").agg(best).select("best._r1", "best._r2"))
+    """docs without all but one of each group that is joined by pairs of Jaccard similarity 0.8 or
+    more over five-word shingles (quadspark.llm.jaccard; fingerprints 4 bits apart are the query's
+    contract, and miss most such pairs): the smallest doc_id stays (nulls last; of rows with that
+    id one by content; of rows equal in id and text any one)."""
+    from quadspark.llm import jaccard
+
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r1", "_r2")).alias("best")
+    keep = written(jaccard.near_duplicates(docs).groupBy("root").agg(best).select("best._r1", "best._r2"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(F.col("doc_id").cast("long"), F.col("text")))
     return rows.join(keep, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("row.*")

@@ -425,6 +425,27 @@ def test_stage_keeps_one_of_each_group(wide, empty):
     assert simhash.near_dedup_stage(empty).count() == 0
 
 
+def test_stage_drops_all_similar_texts(spark):
+    """Texts with words changed here and there, against all pairs by five-word shingles."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 30, 120, 300)))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            words = list(words)
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4 for i, j in edges]
+    assert sum(far) > 20
+    want = {min(g) for g in roots(edges, range(len(texts)))}
+    out = simhash.near_dedup_stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == want
+
+
 def all_links(fps, distance=4):
     return {(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= distance}
 
