@@ -42,14 +42,14 @@ class Encoder:
 
     `tokenizers` takes some 0.28 CPU seconds for 1 MB of text, `tiktoken` over the same ranks
     0.07. A text of ordinary characters is encoded by the latter, if the file is a byte-level
-    BPE whose ids are its ranks; all else by `tokenizers`. Tests hold them equal."""
+    BPE whose ids are its ranks; all else by `tokenizers`, so also a text that holds the string
+    of an added token, which is that token's id. Tests hold them equal."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings are ordinary text here
-        self.fast = None
+        self.fast = self.added = None
         model = json.loads(self.slow.to_str())
         pre = model.get("pre_tokenizer") or {}
         if model.get("normalizer") is None and model["model"].get("type") == "BPE" and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) == ("ByteLevel", False, True):
@@ -58,11 +58,12 @@ class Encoder:
             shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD and not 0x7F <= b <= 0xA0]
             bytes_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
             special = {t["content"] for t in model.get("added_tokens", [])}
+            self.added = re.compile("|".join(re.escape(t) for t in sorted(special))) if special else None
             ranks = {bytes(bytes_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("local", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and not OTHER.search(text):
+        if self.fast is not None and not OTHER.search(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 

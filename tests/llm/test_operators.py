@@ -406,6 +406,17 @@ def test_both_encoders_agree():
         assert e(t).tolist() == e.slow.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_their_ids():
+    """Against the file as it is loaded."""
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert added
+    for t in (f"{a}{x}{b}" for x in added for a in ("", "x ", "é\n", "漢") for b in ("", " y", x)):
+        assert e(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
 # 7 SimHash
 
 
