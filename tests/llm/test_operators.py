@@ -417,6 +417,15 @@ def test_added_tokens_are_their_ids():
         assert e(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, t
 
 
+def test_very_long_runs():
+    """Of over a million characters: tiktoken's regex gives up on white space."""
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    for t in (" " * 1_200_000 + "x", "a" + "\n" * 1_200_000, "a" * 1_200_000):
+        assert np.array_equal(e(t), fresh.encode(t, add_special_tokens=False).ids)
+
+
 # 7 SimHash
 
 
