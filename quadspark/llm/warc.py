@@ -29,7 +29,7 @@ ROLL, RANGE = 64 << 20, 4 << 20
 BLOCK = 256 << 10
 #: Tasks that the ranges are dealt to, at most; each reads its ranges one after the other.
 MOST_TASKS = 50_000
-MOST_HEADER = 1 << 16
+VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 DATE = "2000-01-01T00:00:00Z"
 PAGE = "<urn:quadspark:page:{}>"
 
@@ -84,12 +84,12 @@ class Record:
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Header, block and length of the record at the start of data; Damaged if a check fails."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
-    if not re.match(rb"WARC/\d\.\d\r\n", data):
+    if not VERSION.match(data):
         raise Damaged("no version line")
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header not ended")
-    if re.search(rb"WARC/\d\.\d\r\n", data[1 : end + 2]):
+    if VERSION.search(data, 1, end + 2):
         raise Damaged("another version line in the header")  # a cut-off header runs into the next record's
     headers = {}
     for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
@@ -139,14 +139,31 @@ class Archive:
             if n != len(data):
                 raise Damaged("more than one record in a member")
             return Record(at, p - len(unpack.unused_data), headers, block)
-        head = self.read(at, min(MOST_HEADER, self.size - at))
-        length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,15})", head[: head.find(b"\r\n\r\n") + 2], re.I)
-        want = head.find(b"\r\n\r\n") + 8 + int(length[1]) if length else len(head)
+        head = self.read(at, self.header(at))
+        length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,15})", head[:-2], re.I)
+        want = len(head) + 4 + int(length[1]) if length else len(head)
         if want > self.size - at:
             raise Damaged("not of the length announced")
         headers, block, n = parse(head if want <= len(head) else self.read(at, want))
         return Record(at, at + n, headers, block)
 
+    def header(self, at: int) -> int:
+        """Length of the header at a place, however long. Looks no further than the next version line."""
+        if not VERSION.match(self.read(at, min(10, self.size - at))):
+            raise Damaged("no version line")
+        p = at + 1
+        while p < self.size:
+            piece = self.read(p, min(BLOCK, self.size - p))
+            end, other = piece.find(b"\r\n\r\n"), VERSION.search(piece)
+            if other and (end < 0 or other.start() < end):
+                raise Damaged("another version line in the header")
+            if end >= 0:
+                return p + end + 4 - at
+            if p + len(piece) >= self.size:
+                break
+            p += max(1, len(piece) - 16)  # either may cross the end of the piece
+        raise Damaged("header not ended")
+
     def search(self, at: int, stop: int) -> int:
         """The next place before stop that looks like a member or a version line; stop if there is none."""
         while at < stop:

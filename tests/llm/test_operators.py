@@ -123,6 +123,17 @@ def test_gaps_are_logged(spark, tmp_path):
         assert sorted((g.start, g.stop - g.start) for g in gaps.collect()) == [(first, 320), (first + 320 + sum(map(len, parts[5:12])), len(parts[12]) - 9)]
 
 
+@pytest.mark.parametrize("long", [65_000, 70_000, 262_000, 700_000])
+def test_headers_of_any_length(spark, long):
+    rows = [(1, "u", "<p>one</p>"), (2, "data:," + "é" * long, "<p>one</p>"), (3, "data:," + "x" * long, "two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert brute.counted(map(tuple, warc.archive_pages(pages).collect())) == plain_archive(rows)
+    for packed in (True, False):
+        data = b"".join(warc.member(r) if packed else r for r in (warc.page_record(i, u, h.encode(), None, False) for i, u, h in rows))
+        found = list(warc.salvage(warc.Archive(Bytes(data), len(data))))
+        assert [warc_number(x.headers["warc-record-id"]) for x in found] == [1, 2, 3]
+
+
 def warc_number(s):
     return int(s.rsplit(":", 1)[1].rstrip(">"))
 
