@@ -115,11 +115,17 @@ def decode(span: str, model: list) -> str:
     return "".join(reversed(out))
 
 
-_ANY = r"[^\W\d_]|[01345789@$!+|]"
-SPREAD_OUT = re.compile(rf"(?<![\w@$])(?:(?:{_ANY})[ .\-_*]{{1,2}}){{3,}}(?:{_ANY})(?![\w@$])")
-ODD = re.compile(r"[^\W\d_][0134578@$!+|(€]+[^\W\d_]|(?:^|[^\w])[@$!0134578|]+[^\W\d_]{2}|[^\W\d_]{2}[01345789@$]+$|([^\W\d_])\1\1")
+_LETTER, _LOOKS, _APART = r"[^\W\d_]", re.escape("".join(LOOK_ALIKES)), re.escape(SEPARATORS)
+_ANY = rf"(?:{_LETTER}|[{_LOOKS}])"
+SPREAD_OUT = re.compile(rf"(?<![\w@$])(?:{_ANY}[{_APART}]{{1,2}}){{3,}}{_ANY}(?![\w@$])")
+#: Groups of up to three characters, however far apart; what is white space is one blank to the lattice.
+GROUPS = re.compile(rf"(?<![\w@$])(?:{_ANY}{{1,3}}[\s{_APART}]+)+{_ANY}{{1,3}}(?![\w@$])")
+GAP = re.compile(rf"[\s{_APART}]+")
+#: What the lattice may read otherwise: a look-alike beside a letter, a doubled letter, letters with separators between.
+ODD = re.compile(rf"{_LETTER}[{_LOOKS}]|[{_LOOKS}]{_LETTER}|({_LETTER})\1|{_LETTER}[{_APART}]+{_LETTER}")
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGES = " \t\n\r\x0b\x0c\"'`.,;:?*%#&()[]{}<>/\\=~^-_"
+OUTSIDE = "".join(c for c in EDGES if c not in LOOK_ALIKES)
 
 
 class Reader:
@@ -132,8 +138,10 @@ class Reader:
         """Words of a lower-cased token without white space."""
         core = token.strip(EDGES)
         words = set(LETTERS.findall(core))
-        if ODD.search(core):
-            words.update(LETTERS.findall(self.read(core)))
+        # a look-alike at an end may as well be punctuation: both readings count
+        for part in {core.rstrip("!"), token.strip(OUTSIDE)}:
+            if ODD.search(part):
+                words.update(LETTERS.findall(decode(part, self.model)))
         return frozenset(words)
 
     def read(self, token: str) -> str:
@@ -162,9 +170,21 @@ class Reader:
             out |= self.memory[key]
         return out
 
+    def grouped(self, lower: str) -> set[str]:
+        """Restored words of runs of short groups that aren't words of the text as it is."""
+        out: set[str] = set()
+        for m in GROUPS.finditer(lower):
+            key = GAP.sub(" ", m[0])
+            if key not in self.memory:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                self.memory[key] = frozenset(LETTERS.findall(decode(key, self.model))) if LETTERS.search(key) else frozenset()
+            out |= self.memory[key]
+        return out.difference(LETTERS.findall(lower)) if out else out
+
     def all_words(self, text: str) -> set[str]:
         lower = text.lower()
-        return set().union(self.spread(lower), *map(self.words, set(lower.split())))
+        return set().union(self.spread(lower), self.grouped(lower), *map(self.words, set(lower.split())))
 
     def restore(self, text: str) -> str:
         """The text, lower-cased, with suspicious spans replaced by their likeliest reading."""
@@ -219,7 +239,7 @@ class Scorer:
                 w = memory[token] = self.best(self.reader.token(token))
             if w:
                 found.append(w)
-        found += [w for w in (self.best({x}) for x in self.reader.spread(lower)) if w]
+        found += [w for w in (self.best({x}) for x in self.reader.spread(lower) | self.reader.grouped(lower)) if w]
         return sum(nlargest(STRONGEST, found))
 
     def __call__(self, text: str | None) -> float:

@@ -191,6 +191,11 @@ def test_deobfuscation(reader, hidden, clear):
     assert reader.restore(hidden) == clear
 
 
+@pytest.mark.parametrize(("hidden", "clear"), [("stuupid", "stupid"), ("sstupid", "stupid"), ("iddiot", "idiot"), ("+rash", "trash"), ("disgus+", "disgust"), ("(lown", "clown"), ("(clown)", "clown"), ("9arbage", "garbage"), ("dis9usting", "disgusting"), ("stu-pid", "stupid"), ("st.up.id", "stupid"), ("stu pid", "stupid"), ("s   t   u   p   i   d", "stupid"), ("s\tt\tu\tp\ti\td", "stupid"), ("you are an idi ot", "idiot")])
+def test_all_that_the_lattice_models_is_read(reader, hidden, clear):
+    assert clear in reader.all_words(hidden)
+
+
 def test_viterbi_is_the_best_reading(reader):
     """Against all readings of short spans, one by one."""
     from itertools import product
