@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +18,68 @@ from quadspark.operators.relation import Rel, cname, join, quoted, union
 from quadspark.operators.scratch import written
 from quadspark.plans.algebra import (
     Aggregate, Bgp, Call, Const, Distinct, Exists, Extend, Filter, Group, Join, LeftJoin, Minus, OrderBy, PathPattern, Pattern, Project, Reduced, Service, Slice, Union, Values, Var,
-    expr_vars, in_scope, node_vars,
+    certain, correlated, expr_vars, mentioned, node_vars,
 )
 from quadspark.terms import DECIMAL, INTEGER, LITERAL, STRING, TERM_DDL, Enc, Term, lexical, term_col
 
 
+#: Rows that a pattern of unknown size counts as.
+UNKNOWN_ROWS = 1e6
+
+
+@dataclass
+class Entry:
+    """A part of a join: estimates of its rows and of each variable's different values."""
+
+    names: set[str]
+    rows: float
+    values: dict[str, float] = field(default_factory=dict)
+    make: Callable[[], Rel] | None = None
+
+    def with_(self, other: Entry) -> Entry:
+        """An estimate of the join."""
+        rows = self.rows * other.rows
+        for v in self.names & other.names:
+            rows /= max(self.values.get(v, self.rows), other.values.get(v, other.rows), 1.0)
+        values = {v: min(rows, *(e.values.get(v, e.rows) for e in (self, other) if v in e.names)) for v in self.names | other.names}
+        return Entry(self.names | other.names, max(rows, 1.0), values)
+
+
+def join_order(entries: list[Entry]) -> list[int]:
+    """From each part on, the one that keeps the join smallest comes next, and parts that share a
+    variable come before others. Of these orders the one whose largest join is smallest; of
+    equal ones that which begins with the largest part, so that the others are looked up by key."""
+    best: tuple | None = None
+    for first in range(len(entries)):
+        at, order, left, most, total = entries[first], [first], [i for i in range(len(entries)) if i != first], 0.0, 0.0
+        while left:
+            i = min(left, key=lambda i: (not at.names & entries[i].names, at.with_(entries[i]).rows, -len(at.names & entries[i].names), i))
+            at = at.with_(entries[i])
+            order.append(i), left.remove(i)
+            most, total = max(most, at.rows), total + at.rows
+        rank = (round(math.log2(most + 1)), -entries[first].rows, total, first)
+        if best is None or rank < best[0]:
+            best = rank, order
+    return best[1] if best else []
+
+
+def joined(entries: list[Entry]) -> Rel | None:
+    out = None
+    for i in join_order(entries):
+        r = entries[i].make()
+        out = r if out is None else join(out, r)
+    return out
+
+
+def flat(p: object) -> list:
+    return [*flat(p.left), *flat(p.right)] if isinstance(p, Join) else [p]
+
+
+def visible(r: Rel) -> set[str]:
+    """Its variables, without flags and row numbers."""
+    return {v for v in r.vars if not v.startswith("!")}
+
+
 class Lowering:
     def __init__(self, spark: SparkSession, sources: list, context: Context, services: dict[str, list] | None = None, default: tuple = (), named: tuple = (), opt_plus: bool = False) -> None:
         self.opt_plus = opt_plus
@@ -69,29 +129,36 @@ class Lowering:
         return out.distinct() if len(parts) > 1 else out
 
     def bgp(self, b: Bgp) -> Rel:
-        """Patterns are grouped into stars by subject; stars are joined along common variables,
-        those with more constants first."""
-        stars: dict[tuple, list] = {}
-        for t in b.patterns:
-            stars.setdefault((t.s, t.g), []).append((t.p, t.o))
-        if not stars:
-            return self.unit()
+        """Patterns are grouped into stars by subject, which are joined in an order by estimates."""
+        return joined(self.stars(b)) or self.unit()
 
-        def names(k: tuple, found: list) -> set[str]:
-            return node_vars(k[0]) | node_vars(k[1]) | set().union(*(node_vars(p) | node_vars(o) for p, o in found))
-
-        def score(k: tuple, found: list) -> int:
-            return 4 * isinstance(k[0], Term) + sum(2 * isinstance(o, Term) + isinstance(p, Term) for p, o in found)
-
-        left = sorted(stars.items(), key=lambda x: -score(*x))
-        key, found = left.pop(0)
-        out, seen = self.star(key[0], found, key[1]), names(key, found)
-        while left:
-            i = next((i for i, (k, f) in enumerate(left) if names(k, f) & seen), 0)
-            key, found = left.pop(i)
-            out, seen = join(out, self.star(key[0], found, key[1])), seen | names(key, found)
+    def stars(self, b: Bgp) -> list[Entry]:
+        groups: dict[tuple, list] = {}
+        for t in b.patterns:
+            groups.setdefault((t.s, t.g), []).append((t.p, t.o))
+        out = []
+        for (s, g), found in groups.items():
+            names = node_vars(s) | node_vars(g) | set().union(*(node_vars(p) | node_vars(o) for p, o in found))
+            known = [x.estimate(s, found, g) for x in self.sources]
+            rows = max(1.0, sum(n for n, _ in known))
+            values = {v: min(rows, sum(d.get(v, n) for n, d in known)) for v in names}
+            out.append(Entry(names, rows, values, lambda s=s, found=found, g=g: self.star(s, found, g)))
         return out
 
+    def inner_join(self, p: Join) -> Rel:
+        """Nested joins are one join of many: patterns come together, and the order is by estimates."""
+        parts = flat(p)
+        entries = self.stars(Bgp(tuple(t for x in parts if isinstance(x, Bgp) for t in x.patterns)))
+        for x in parts:
+            if isinstance(x, Bgp):
+                continue
+            r = self.lower(x)
+            if r.unit:
+                continue
+            rows = float(max(1, len(x.rows)) if isinstance(x, Values) else UNKNOWN_ROWS)
+            entries.append(Entry(set(r.vars), rows, {}, lambda r=r: r))
+        return joined(entries) or self.unit()
+
     def unit(self) -> Rel:
         return Rel(self.spark.range(1).select(), {}, set(), True)
 
@@ -104,7 +171,7 @@ class Lowering:
             case PathPattern():
                 return self.allowed(lower_path(p, self.pattern, self.nodes), p.g)
             case Join():
-                return join(self.lower(p.left), self.lower(p.right))
+                return self.inner_join(p)
             case LeftJoin():
                 return self.left_join(p)
             case Union():
@@ -188,60 +255,114 @@ class Lowering:
         return r
 
     def semi(self, r: Rel, plan: object, negated: bool) -> Rel:
-        """EXISTS as a semi or anti join. A filter that speaks of outer variables is part of its condition."""
-        late, inner = [], plan
-        while isinstance(inner, Filter):
-            outer = [e for e in conjuncts(inner.expr) if (expr_vars(e) - set(in_scope(inner.input))) & set(r.vars)]
-            if any(isinstance(e, Exists) for e in outer):
+        """EXISTS as a semi or anti join. Filters at the pattern's top that speak of outer variables
+        are its condition; a pattern that needs them anywhere deeper is evaluated from seeds."""
+        outer, late, inner = visible(r), [], plan
+        while isinstance(inner, Filter) and not correlated(inner.input, outer):
+            parts = conjuncts(inner.expr)
+            free = [e for e in parts if (mentioned(e) - certain(inner.input)) & outer]
+            if any(exists_in(e) for e in free):
                 break
-            late += outer
-            own = [e for e in conjuncts(inner.expr) if e not in outer]
-            rest = inner.input
+            late += free
+            own = [e for e in parts if e not in free]
             if own:
-                e = own[0]
-                for x in own[1:]:
-                    e = Call("&&", (e, x))
-                inner = Filter(rest, e)
+                inner = Filter(inner.input, reduce(lambda a, b: Call("&&", (a, b)), own))
                 break
-            inner = rest
+            inner = inner.input
+        if correlated(inner, outer):
+            marked, there = self.flagged(r, plan)
+            return Rel(marked.df.where(~there if negated else there), dict(marked.vars), set(marked.nullable)).only(list(r.vars))
         right = self.lower(inner)
 
         def condition(scope: dict) -> Column:
-            out = None
-            for e in late:
-                c = F.coalesce(X.ebv(compile_expr(e, scope, self.c)), F.lit(False))
-                out = c if out is None else out & c
-            return out
-
-        if not any(v in r.vars for v in right.vars) and not late:
-            right = Rel(right.df.limit(1), dict(right.vars))
+            return reduce(lambda a, b: a & b, [F.coalesce(X.ebv(compile_expr(e, scope, self.c)), F.lit(False)) for e in late])
+
         if right.unit and not late:
             return Rel(r.df.where(F.lit(not negated)), dict(r.vars), set(r.nullable))
         return join(r, right, "left_anti" if negated else "left_semi", condition if late else None)
 
     def with_exists(self, r: Rel, e: object) -> Rel:
-        """Adds a flag for each EXISTS inside an expression."""
+        """Adds a flag for each EXISTS inside an expression; the number of rows stays."""
         for x in exists_in(e):
-            right = self.lower(x.plan)
-            shared = [v for v in right.vars if v in r.vars]
-            flag = f"!{len(r.vars)}"
-            keys = Rel(right.df.select(*[right.col(v) for v in shared]).distinct() if shared else right.df.limit(1).select(F.lit(1).alias("x")).select(), {v: right.vars[v] for v in shared}, right.nullable & set(shared))
-            marked = Rel(keys.df.withColumn(cname(flag), F.lit(True)), dict(keys.vars) | {flag: Enc("lit", None, X.BOOLEAN)}, set(keys.nullable))
-            r = join(r, marked, "left")
-            there = F.coalesce(r.col(flag), F.lit(False))
+            r, there = self.flagged(r, x.plan)
             self.c.exists[id(x)] = ~there if x.negated else there
         return r
 
+    def flagged(self, r: Rel, plan: object) -> tuple[Rel, Column]:
+        """r with a flag, and the flag as a condition: whether the pattern has a solution in which
+        the row's variables stand for their values."""
+        outer, flag = visible(r), f"!{len(r.vars)}"
+        there = F.coalesce(quoted(cname(flag)), F.lit(False))
+        mark = {flag: Enc("lit", None, X.BOOLEAN)}
+        if not correlated(plan, outer):
+            right = self.lower(plan)
+            shared = [v for v in right.vars if v in outer]
+            if not shared:
+                one = right.df.limit(1).select(F.lit(True).alias(cname(flag)))
+                return join(r, Rel(one, mark), "left"), there
+            if not any(v in r.nullable or v in right.nullable for v in shared):
+                keys = right.only(shared)
+                return join(r, Rel(keys.df.distinct().withColumn(cname(flag), F.lit(True)), keys.vars | mark), "left"), there
+        used = [v for v in r.vars if v in mentioned(plan) & outer]
+        row = f"!row{len(r.vars)}"
+        some = r.only(used)
+        seeds = written(some.df.distinct().withColumn(cname(row), F.monotonically_increasing_id())) if used else self.spark.range(1).select(F.col("id").alias(cname(row)))
+        met = self.seeded(plan, Rel(seeds, some.vars | {row: Enc("lit", None, INTEGER)}, some.nullable), row)
+        met = seeds.join(met.df.select(met.col(row)).distinct(), cname(row), "left_semi")
+        keys = met.select(*[quoted(cname(v)).alias(f"k_{cname(v)}") for v in used], F.lit(True).alias(cname(flag)))
+        on = reduce(lambda a, b: a & b, [r.col(v).eqNullSafe(quoted(f"k_{cname(v)}")) for v in used], F.lit(True))
+        df = r.df.join(keys, on, "left").select(*[r.col(v) for v in r.vars], quoted(cname(flag)))
+        return Rel(df, r.vars | mark, r.nullable | {flag}), there
+
+    def seeded(self, plan: object, seed: Rel, row: str) -> Rel:
+        """Solutions of the plan for each row of seed, whose variables are in scope at every level, as
+        if they were written in place of the variables. Each solution has its seed's number."""
+        outer = visible(seed)
+        if not correlated(plan, outer):
+            return join(seed, self.lower(plan))
+        match plan:
+            case Filter():
+                r = self.seeded(plan.input, seed, row)
+                for e in conjuncts(plan.expr):
+                    names, x = list(r.vars), self.with_exists(r, e)
+                    r = Rel(x.df.where(X.ebv(compile_expr(e, x.scope(), self.c))), dict(x.vars), set(x.nullable)).only(names)
+                return r
+            case Extend():
+                r = self.seeded(plan.input, seed, row)
+                if plan.var in r.vars:
+                    raise ValueError(f"?{plan.var} is bound already")
+                names, r = list(r.vars), self.with_exists(r, plan.expr)
+                x = compile_expr(plan.expr, r.scope(), self.c)
+                df = r.df.select(*[r.col(v) for v in names], x.col.alias(cname(plan.var)))
+                return Rel(df, {v: r.vars[v] for v in names} | {plan.var: x.enc}, (r.nullable & set(names)) | {plan.var})
+            case Join():
+                return join(self.seeded(plan.left, seed, row), self.seeded(plan.right, seed, row))
+            case Union():
+                return union([self.seeded(x, seed, row) for x in plan.parts])
+            case LeftJoin():
+                return self.optional(self.seeded(plan.left, seed, row), self.seeded(plan.right, seed, row), plan.expr)
+            case Minus():  # what is written in place of a variable is none that both sides share
+                left, right = self.seeded(plan.left, seed, row), self.seeded(plan.right, seed, row)
+                right = right.only([row, *(v for v in right.vars if v in left.vars and v not in outer and v != row)])
+                shared = [v for v in right.vars if v != row]
+                if not shared:
+                    return left
+                both = lambda scope: reduce(lambda a, b: a | b, [left.col(v).isNotNull() & quoted(f"r_{cname(v)}").isNotNull() for v in shared])
+                return join(left, right, "left_anti", both)
+        raise ValueError(f"EXISTS with outer variables in {type(plan).__name__}")
+
     def left_join(self, p: LeftJoin) -> Rel:
-        left, right = self.lower(p.left), self.lower(p.right)
+        return self.optional(self.lower(p.left), self.lower(p.right), p.expr)
+
+    def optional(self, left: Rel, right: Rel, e: object | None) -> Rel:
         if self.opt_plus:  # every left solution also by itself
-            inner = join(left, right, "inner", None if p.expr is None else lambda scope: F.coalesce(X.ebv(compile_expr(p.expr, scope, self.c)), F.lit(False)))
+            inner = join(left, right, "inner", None if e is None else lambda scope: F.coalesce(X.ebv(compile_expr(e, scope, self.c)), F.lit(False)))
             return union([left, inner])
-        if p.expr is None:
+        if e is None:
             return join(left, right, "left") if not left.unit or right.vars else left
-        if exists_in(p.expr):
-            return self.left_join_exists(left, right, p.expr)
-        return join(left, right, "left", lambda scope: F.coalesce(X.ebv(compile_expr(p.expr, scope, self.c)), F.lit(False)))
+        if exists_in(e):
+            return self.left_join_exists(left, right, e)
+        return join(left, right, "left", lambda scope: F.coalesce(X.ebv(compile_expr(e, scope, self.c)), F.lit(False)))
 
     def left_join_exists(self, left: Rel, right: Rel, e: object) -> Rel:
         """The expression needs whole solutions: those that meet it, and the left ones of which none does."""
@@ -261,7 +382,8 @@ class Lowering:
         try:
             if not isinstance(p.name, Term) or p.name.v not in self.services:
                 raise ValueError(f"no service {p.name}")
-            return Lowering(self.spark, self.services[p.name.v], self.c, self.services).lower(p.input)
+            r = Lowering(self.spark, self.services[p.name.v], self.c, self.services).lower(p.input)
+            return Rel(written(r.df), dict(r.vars), set(r.nullable)) if p.silent and r.vars else r  # what fails when it runs fails here
         except Exception:
             if p.silent:
                 return self.unit()
@@ -269,11 +391,13 @@ class Lowering:
 
     def order(self, p: OrderBy) -> Rel:
         r = self.lower(p.input)
-        keys = []
+        keys, names = [], list(r.vars)
         for e, descending in p.keys:
+            r = self.with_exists(r, e)
             k = X.order_column(compile_expr(e, r.scope(), self.c))
             keys.append(k.desc_nulls_last() if descending else k.asc_nulls_first())
-        return Rel(r.df.orderBy(*keys), dict(r.vars), set(r.nullable))
+        out = Rel(r.df.orderBy(*keys), dict(r.vars), set(r.nullable))
+        return out if len(names) == len(r.vars) else out.only(names)
 
     def group(self, p: Group) -> Rel:
         r = self.lower(p.input)
@@ -282,6 +406,7 @@ class Lowering:
             return Rel(df, {v: r.vars[v] for v in p.keys}, r.nullable & set(p.keys))
         aggs, finish, encs = [], {}, {}
         for name, a in p.aggregates:
+            r = self.with_exists(r, a.arg)
             col, enc = self.aggregate(r, a, f"a_{len(encs)}", aggs)
             finish[name], encs[name] = col, enc
         keys = [v for v in p.keys if v in r.vars]
@@ -301,7 +426,7 @@ class Lowering:
         if a.name == "COUNT" and a.arg is None:
             if not a.distinct:
                 return add(F.count(F.lit(1))), Enc("lit", None, INTEGER)
-            every = F.struct(*[r.col(v).alias(f"c{i}") for i, v in enumerate(r.vars)]) if r.vars else F.lit(1)
+            every = F.struct(*[r.col(v).alias(f"c{i}") for i, v in enumerate(sorted(visible(r)))]) if visible(r) else F.lit(1)
             return add(F.count_distinct(every)), Enc("lit", None, INTEGER)
         x = compile_expr(a.arg, r.scope(), self.c)
         if a.name == "COUNT":

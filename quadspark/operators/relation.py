@@ -4,12 +4,11 @@ and which may be unbound. Joins on compatible solutions."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.terms import DECIMAL, DOUBLE, INTEGER, Enc, box
+from quadspark.terms import Enc, box
 
 
 def cname(var: str) -> str:
@@ -51,6 +50,11 @@ class Rel:
         return Rel(df, {v: self.vars.get(v, Enc("term")) for v in names}, {v for v in names if v not in self.vars} | (self.nullable & set(names)))
 
 
+def table_bytes(df: DataFrame) -> float:
+    """Spark's estimate of a plan's size, which takes no job; of an unknown size 1 TB."""
+    return min(1e12, float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def same(a: Enc, b: Enc) -> bool:
     """Whether the columns of both can be compared as they are."""
     return a == b
@@ -75,8 +79,12 @@ def _full_iri(r: Rel, v: str) -> Rel:
 
 
 def join(left: Rel, right: Rel, how: str = "inner", condition=None) -> Rel:  # noqa: ANN001
-    """Solutions of both that are compatible. how: inner, left, left_semi, left_anti. condition: a
-    function of the merged scope. For left_anti a shared variable must be bound on both sides."""
+    """Solutions of both that are compatible. how: inner, left, left_semi, left_anti, or
+    left_anti_minus, for which a shared variable must be bound on both sides. condition: a function
+    of the merged scope.
+
+    Spark gets an equality for every join that can have one: where all shared variables may be
+    unbound, the sides are split by whether the first of them is bound, until a key remains."""
     if how == "inner" and condition is None:
         if left.unit:
             return right
@@ -85,8 +93,15 @@ def join(left: Rel, right: Rel, how: str = "inner", condition=None) -> Rel:  # n
     shared = [v for v in left.vars if v in right.vars]
     left, right = unify([left, right], set(shared))
     loose = [v for v in shared if v in left.nullable or v in right.nullable]
-    if how == "inner" and loose and len(loose) == len(shared) <= 2:
-        return _split(left, right, loose, condition)
+    if how == "left_anti_minus":
+        return _minus(left, right, shared, loose)
+    if loose and len(loose) == len(shared):
+        return _split(left, right, loose[0], how, condition)
+    return _on(left, right, shared, loose, how, condition)
+
+
+def _on(left: Rel, right: Rel, shared: list[str], loose: list[str], how: str, condition=None) -> Rel:  # noqa: ANN001
+    """One Spark join: the shared variables that are always bound are its keys."""
     other = right.df.select(*[right.col(v).alias(f"r_{cname(v)}") for v in right.vars])
     theirs = lambda v: quoted(f"r_{cname(v)}")
     on: Column | None = None
@@ -95,20 +110,13 @@ def join(left: Rel, right: Rel, how: str = "inner", condition=None) -> Rel:  # n
         if v in loose:
             eq = left.col(v).isNull() | theirs(v).isNull() | eq
         on = eq if on is None else on & eq
-    if how == "left_anti_minus":
-        if not shared:
-            return left
-        both: Column | None = None
-        for v in shared:
-            b = left.col(v).isNotNull() & theirs(v).isNotNull()
-            both = b if both is None else both | b
-        on, how = (on & both if loose else on), "left_anti"
-    merged = {v: ((F.coalesce(left.col(v), theirs(v)) if v in loose else left.col(v)), left.vars[v]) for v in left.vars if v in shared}
-    merged = {v: (left.col(v), e) for v, e in left.vars.items()} | merged | {v: (theirs(v), e) for v, e in right.vars.items() if v not in shared}
+    merged = {v: (left.col(v), e) for v, e in left.vars.items()} | {v: (F.coalesce(left.col(v), theirs(v)), left.vars[v]) for v in loose} | {v: (theirs(v), e) for v, e in right.vars.items() if v not in shared}
     if condition is not None:
         c = condition(merged)
         on = c if on is None else on & c
     if on is None:
+        if how in ("left_semi", "left_anti"):
+            other = other.limit(1)
         df = left.df.crossJoin(other) if how == "inner" else left.df.join(other, F.lit(True), how)
     else:
         df = left.df.join(other, on, how)
@@ -122,25 +130,69 @@ def join(left: Rel, right: Rel, how: str = "inner", condition=None) -> Rel:  # n
     return Rel(df, {v: e for v, (_, e) in merged.items()}, nullable)
 
 
-def _split(left: Rel, right: Rel, loose: list[str], condition) -> Rel:  # noqa: ANN001
-    """All shared variables may be unbound: a join by equality for each pattern of bound ones,
-    rather than one join on a disjunction."""
+def _bound(r: Rel, v: str) -> Rel:
+    return Rel(r.df.where(r.col(v).isNotNull()), dict(r.vars), r.nullable - {v})
+
+
+def _unbound(r: Rel, v: str) -> Rel:
+    """The rows without a value of v, without that variable."""
+    return Rel(r.df.where(r.col(v).isNull()), dict(r.vars), set(r.nullable)).only([x for x in r.vars if x != v])
+
+
+def _split(left: Rel, right: Rel, v: str, how: str, condition) -> Rel:  # noqa: ANN001
+    """A join of which v, like each shared variable, may be unbound."""
+    if how == "left":  # what matches, and what nothing matches
+        names = [*left.vars, *(x for x in right.vars if x not in left.vars)]
+        return union([join(left, right, "inner", condition), join(left, right, "left_anti", condition)], names)
+    mine = [_bound(left, v)] if v in left.nullable else [left]
+    their = [_bound(right, v), _unbound(right, v)] if v in right.nullable else [right]
+    if how == "inner":
+        parts = [join(mine[0], t, "inner", condition) for t in their]
+        if v in left.nullable:
+            parts.append(join(_unbound(left, v), right, "inner", condition))
+        return union(parts, [*left.vars, *(x for x in right.vars if x not in left.vars)])
+    out = []
+    rest = mine[0]
+    for t in their:
+        if how == "left_semi":
+            out.append(join(rest, t, "left_semi", condition))
+        rest = join(rest, t, "left_anti", condition)
+    out = out if how == "left_semi" else [rest]
+    if v in left.nullable:
+        open_ = Rel(left.df.where(left.col(v).isNull()), dict(left.vars), set(left.nullable))
+        out.append(_hidden(open_, v, right, how, condition))
+    return union(out, list(left.vars))
+
+
+def _hidden(left: Rel, v: str, right: Rel, how: str, condition) -> Rel:  # noqa: ANN001
+    """A semi or anti join of rows whose v is unbound: v is the right side's, for the condition only."""
+    names = [x for x in left.vars if x != v]
+    found = join(left.only(names), right, how, condition)
+    none = F.lit(None).cast(left.df.schema[cname(v)].dataType)
+    return Rel(found.df.select(*[(none if x == v else found.col(x)).alias(cname(x)) for x in left.vars]), dict(left.vars), set(left.nullable))
+
+
+def _minus(left: Rel, right: Rel, shared: list[str], loose: list[str]) -> Rel:
+    """MINUS: without the solutions that are compatible with one of the right side and share a
+    bound variable with it."""
+    if not shared:
+        return left
+    if len(loose) < len(shared):
+        return _on(left, right, shared, loose, "left_anti")
+    v, rest = shared[0], shared[1:]
+    both = _on(left, _bound(right, v) if v in right.nullable else right, shared, rest, "left_anti")  # a null key equals nothing
+    if not rest:
+        return both
     parts = []
-    for mine in product((True, False), repeat=len(loose)):
-        for their in product((True, False), repeat=len(loose)):
-            if any(not m and v not in left.nullable or not t and v not in right.nullable for v, m, t in zip(loose, mine, their, strict=True)):
-                continue
-            a, b = left, right
-            for v, m, t in zip(loose, mine, their, strict=True):
-                a = Rel(a.df.where(a.col(v).isNotNull() if m else a.col(v).isNull()), dict(a.vars), a.nullable - {v})
-                b = Rel(b.df.where(b.col(v).isNotNull() if t else b.col(v).isNull()), dict(b.vars), b.nullable - {v})
-            lose_a = [v for v, m in zip(loose, mine, strict=True) if not m]
-            lose_b = [v for v, m, t in zip(loose, mine, their, strict=True) if m and not t]
-            none = {v for v, m, t in zip(loose, mine, their, strict=True) if not m and not t}
-            a = a.only([v for v in a.vars if v not in lose_a])
-            b = b.only([v for v in b.vars if v not in lose_b and v not in none])
-            parts.append(join(a, b, "inner", condition))
-    return union(parts, [*left.vars, *(v for v in right.vars if v not in left.vars)])
+    for here, there in ((_bound(both, v) if v in left.nullable else both, _unbound(right, v) if v in right.nullable else None), (Rel(both.df.where(both.col(v).isNull()), dict(both.vars), set(both.nullable)) if v in left.nullable else None, right)):
+        if here is None:
+            continue
+        if there is None:
+            parts.append(here)
+            continue
+        other = there.only([x for x in there.vars if x != v])
+        parts.append(_minus(here, other, rest, [x for x in rest if x in here.nullable or x in other.nullable]))
+    return union(parts, list(left.vars))
 
 
 def union(parts: list[Rel], names: list[str] | None = None) -> Rel:
@@ -163,5 +215,3 @@ def union(parts: list[Rel], names: list[str] | None = None) -> Rel:
         out = df if out is None else out.union(df)
     return Rel(out, enc, nullable & set(names))
 
-
-NUMBERS = (INTEGER, DECIMAL, DOUBLE)

@@ -98,6 +98,39 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?k WHERE { ?d documents:doc_id ?k FILTER(?k < 50 || EXISTS { ?l labels:docRef ?d ; labels:toxic 1 }) }",
         "SELECT doc_id AS k FROM documents d WHERE doc_id < 50 OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)",
     ),
+    "exists_correlated_or": (
+        "SELECT ?k WHERE { ?c customer:c_custkey ?k ; customer:c_acctbal ?bal FILTER(?k < 0 || EXISTS { ?o orders:custRef ?c ; orders:o_totalprice ?p FILTER(?p > ?bal * 30) }) }",
+        "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30)",
+    ),
+    "exists_bind": (
+        "SELECT ?k ?e WHERE { ?c customer:c_custkey ?k ; customer:c_acctbal ?bal BIND(EXISTS { ?o orders:custRef ?c ; orders:o_totalprice ?p FILTER(?p > ?bal * 30) } AS ?e) }",
+        "SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30) AS e FROM customer",
+    ),
+    "exists_in_union": (
+        "SELECT ?k WHERE { ?c customer:c_custkey ?k ; customer:c_acctbal ?bal ; customer:nationRef ?n FILTER EXISTS { { ?o orders:custRef ?c ; orders:o_totalprice ?p FILTER(?p > ?bal * 60) } UNION { ?s supplier:nationRef ?n ; supplier:s_acctbal ?b FILTER(?b < ?bal / 100) } } }",
+        "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 60) OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal / 100)",
+    ),
+    "exists_unbound_key": (
+        "SELECT ?k WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:toxic ?t } FILTER(EXISTS { ?m labels:toxic ?t ; labels:quality 0 } || ?k < 0) }",
+        "SELECT d.doc_id AS k FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE EXISTS (SELECT 1 FROM labels m WHERE m.quality = 0 AND (l.toxic IS NULL OR m.toxic = l.toxic))",
+    ),
+    "not_exists_nested": (
+        "SELECT ?name WHERE { ?n nation:n_name ?name FILTER NOT EXISTS { ?s supplier:nationRef ?n ; supplier:s_acctbal ?b FILTER NOT EXISTS { ?c customer:nationRef ?n ; customer:c_acctbal ?d FILTER(?d > ?b + 1000) } } }",
+        "SELECT n_name AS name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > s_acctbal + 1000))",
+    ),
+    "exists_optional_inside": (
+        "SELECT ?k WHERE { ?d documents:doc_id ?k ; documents:lang ?g FILTER(EXISTS { ?l labels:docRef ?d ; labels:toxic ?t OPTIONAL { ?l labels:quality ?q FILTER(?k < 200) } FILTER(?t = 0 || BOUND(?q)) } && ?g = 'en') }",
+        "SELECT d.doc_id AS k FROM documents d WHERE lang = 'en' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic IS NOT NULL AND (l.toxic = 0 OR (d.doc_id < 200 AND l.quality IS NOT NULL)))",
+    ),
+    "optional_optional": (
+        "SELECT ?k ?t ?b WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:toxic ?t ; labels:quality 1 } OPTIONAL { ?r region:r_regionkey ?t ; region:r_name ?b } }",
+        "SELECT d.doc_id AS k, CAST(coalesce(l.toxic, r_regionkey) AS BIGINT) AS t, r_name AS b FROM documents d LEFT JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id LEFT JOIN region ON l.toxic IS NULL OR l.toxic = r_regionkey",
+    ),
+    "minus_two_unbound": (
+        "SELECT ?k WHERE { ?d documents:doc_id ?k OPTIONAL { ?l labels:docRef ?d ; labels:toxic ?t } OPTIONAL { ?m labels:docRef ?d ; labels:quality ?q } MINUS { VALUES (?t ?q) { (0 UNDEF) (UNDEF 0) (1 1) } } }",
+        "SELECT d.doc_id AS k FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (coalesce(l.toxic = 0, false) OR coalesce(l.quality = 0, false) OR (l.toxic IS NOT NULL OR l.quality IS NOT NULL) AND coalesce(l.toxic = 1, true) AND coalesce(l.quality = 1, true))",
+    ),
+    "embeddings": ("SELECT ?k ?l WHERE { ?e embeddings:vec_id ?k ; embeddings:label ?l FILTER(?l > 2) }", "SELECT vec_id AS k, CAST(label AS BIGINT) AS l FROM embeddings WHERE label > 2"),
     "values": ("SELECT ?k ?name WHERE { VALUES ?name { 'EUROPE' 'ASIA' } ?r region:r_name ?name ; region:r_regionkey ?k }", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region WHERE r_name IN ('EUROPE', 'ASIA')"),
     "values_undef": (
         "SELECT ?k ?name WHERE { ?r region:r_regionkey ?k ; region:r_name ?name VALUES (?k ?name) { (1 UNDEF) (UNDEF 'ASIA') (3 'ASIA') } }",

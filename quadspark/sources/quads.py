@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.operators.relation import Rel, cname, join
+from quadspark.operators.relation import Rel, cname, join, table_bytes
 from quadspark.plans.algebra import Pattern, TripleTerm, Var
-from quadspark.terms import IRI, TERM, TRIPLE, Enc, Term
+from quadspark.terms import IRI, RDF, TERM, TRIPLE, Enc, Term
+
+TYPE = RDF + "type"
 
 QUADS = T.StructType([T.StructField("s", TERM), T.StructField("p", T.StringType()), T.StructField("o", TERM), T.StructField("g", T.StringType())])
 
@@ -48,11 +50,24 @@ class QuadSource:
 
     def __init__(self, df: DataFrame, union_default: bool = False) -> None:
         self.df, self.union_default = df.select("s", "p", "o", F.coalesce("g", F.lit("")).alias("g")), union_default
+        self.bytes: float | None = None
 
     def star(self, s: object, pairs: list[tuple[object, object]], g: object) -> Rel:
         """Patterns with one subject. Joins on it are on one key, so one shuffle serves them all."""
         return reduce(join, (self.pattern(Pattern(s, p, o, g)) for p, o in pairs))
 
+    def estimate(self, s: object, pairs: list[tuple[object, object]], g: object) -> tuple[float, dict[str, float]]:
+        """Rows of a star, and different values of its variables, from the size of the data and rules of thumb."""
+        if self.bytes is None:
+            self.bytes = table_bytes(self.df)
+        each = [self.bytes / 60 * (0.1 if isinstance(p, Term) else 1.0) * ((0.2 if isinstance(p, Term) and p.v == TYPE else 0.01) if isinstance(o, Term) else 1.0) for p, o in pairs]
+        rows = max(1.0, min(each) * (0.001 if isinstance(s, Term) else 1.0))
+        values = {s.name: rows} if isinstance(s, Var) else {}
+        for _, o in pairs:
+            if isinstance(o, Var):
+                values.setdefault(o.name, max(1.0, rows / 3))
+        return rows, values
+
     def graph(self, g: object) -> tuple[DataFrame, Column | None]:
         """The quads of graph g, and the column that binds it."""
         if isinstance(g, Var):

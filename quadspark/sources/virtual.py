@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadspark.operators.relation import Rel, cname, union
+from quadspark.operators.relation import Rel, cname, table_bytes, union
 from quadspark.plans.algebra import TripleTerm, Var
 from quadspark.terms import DATETIME, INTEGER, IRI, LITERAL, NUMERIC_TYPES, RDF, TERM_DDL, Enc, Term, box, datatype_of, term_col
 
@@ -41,6 +42,7 @@ TPCH = (
     TableMap("lineitem", (), {"orderRef": ("l_orderkey", "orders"), "partRef": ("l_partkey", "part"), "suppRef": ("l_suppkey", "supplier")}),
     TableMap("events", ("event_id",)),
     TableMap("documents", ("doc_id",)),
+    TableMap("embeddings", ("vec_id",)),
     TableMap("labels", ("doc_id",), {"docRef": ("doc_id", "documents")}),
     TableMap("pages", ("page_id",)),
     TableMap("benchmark", ("item_id",)),
@@ -51,9 +53,10 @@ TPCH = (
 class TableSource:
     """load: table name -> DataFrame. Only the tables that a query uses are loaded."""
 
-    def __init__(self, load: Callable[[str], DataFrame], maps: tuple[TableMap, ...] = TPCH, base: str = "http://tpch/") -> None:
+    def __init__(self, load: Callable[[str], DataFrame], maps: tuple[TableMap, ...] = TPCH, base: str = "http://tpch/", rows: dict[str, float] | None = None) -> None:
         self.load, self.maps, self.base = load, {m.name: m for m in maps}, base
         self.cache: dict[str, DataFrame] = {}
+        self.sizes: dict[str, float] = dict(rows or {})
         self.known: dict[str, dict[str, tuple[str, Enc]]] = {}
 
     def frame(self, name: str) -> DataFrame:
@@ -123,6 +126,39 @@ class TableSource:
             return Rel(empty.select(*[f"`{cname(v)}`" for v in names]), {v: Enc("term") for v in names})
         return parts[0] if len(parts) == 1 else union(parts, names)
 
+    def rows(self, name: str) -> float:
+        """An estimate from the size of the table's files; rows given to the source come first."""
+        if name not in self.sizes:
+            df = self.frame(name)
+            width = sum(16 if isinstance(f.dataType, T.StringType) else 5 for f in df.schema)
+            self.sizes[name] = max(1.0, table_bytes(df) / width)
+        return self.sizes[name]
+
+    def estimate(self, s: object, pairs: list[tuple[object, object]], g: object) -> tuple[float, dict[str, float]]:
+        """Rows of a star, and different values of its variables: keys and links are known by
+        the tables they belong to."""
+        total, values = 0.0, {}
+        for m in self._tables(s, pairs, g):
+            all_rows = n = self.rows(m.name)
+            kinds: dict[str, float] = {s.name: all_rows} if isinstance(s, Var) else {}
+            if isinstance(s, Term):
+                n = 1.0
+            for p, o in pairs:
+                link = m.links.get(p.v.rpartition("#")[2]) if isinstance(p, Term) else None
+                known = self.rows(link[1]) if link else max(2.0, all_rows / 10)
+                if not isinstance(p, Term):
+                    n *= len(self.predicates(m)) + 1
+                elif p.v == TYPE:
+                    known = 1.0
+                if isinstance(o, Term):
+                    n /= known if link else 1.0 if known == 1.0 else 10.0
+                for v in (o,) if isinstance(o, Var) else ():
+                    kinds.setdefault(v.name, known)
+            total += n
+            for v, k in kinds.items():
+                values[v] = values.get(v, 0.0) + min(k, all_rows)
+        return total, values
+
     def _scan(self, m: TableMap, s: object, pairs: list[tuple[object, object]], g: object) -> Rel | None:
         """One scan of one table; None if it has no such row."""
         known, df = self.predicates(m), self.frame(m.name)
