@@ -8,7 +8,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words, as the inside of a character class and as a string.
@@ -97,3 +97,15 @@ def training_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars: int) -> DataFrame:
+    """(of, label 0 or 1, text) of labelled documents: at most rows of them, with at most chars
+    characters in all, in the order of training_labels (of equal ids the shorter text first)."""
+    chosen = training_labels(labels, column, rows).withColumnRenamed("doc_id", "of")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = written(texts.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("of", (F.col("label") > 0).cast("int").alias("label"), "text"))
+    sizes = found.select("of", F.char_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h")).distinct()
+    order = Window.orderBy(F.xxhash64("of"), "of", "n", "h").rowsBetween(Window.unboundedPreceding, 0)  # of rows texts, or few more
+    kept = sizes.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= chars).select(F.col("of").alias("o"), "h")
+    return found.join(F.broadcast(kept), (F.col("of") == F.col("o")) & (F.xxhash64("text") == F.col("h")), "left_semi")

@@ -1,15 +1,19 @@
-"""Near duplicates by word shingles: all pairs of texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more, none left out and none too many.
+"""Near duplicates by word shingles: groups joined by all pairs of texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more, none left out and none too many.
 
-Prefix filtering: with shingles in one global order, two such sets share one of the first
+Candidates come first from the SimHash index (quadspark.llm.simhash) over fingerprints of
+five-word shingles. At 0.8 two fingerprints of 64 bits differ in some 10 bits, more than any index
+can search at once, so that a second search finds the rest.
+
+That is prefix filtering: with shingles in one global order, two such sets share one of the first
 n - ceil(0.8 n) + 1 of each. Sets meet in the buckets of these; pairs that share too few of
 them to be similar are dropped, and the rest compared whole. Shingles that are frequent in a
 sample come last in the order, so that few of them are in a prefix; the sample changes what is
 compared, not what is found.
 
-Two rounds: the first links what shares one of the first two shingles to one set of the
-bucket, the second takes all prefixes but only pairs that the first hasn't joined. A large
-group of near copies is then no square of pairs.
+Two rounds: the first checks SimHash's pairs, and links what shares one of the first two
+shingles to one set of the bucket; the second takes all prefixes but only pairs that the first
+hasn't joined. A large group of near copies is then no square of pairs.
 """
 
 from collections.abc import Iterator
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadspark.llm.common import bounded_batches, row_key, small_side, written
-from quadspark.llm.simhash import SEED, components
+from quadspark.llm.simhash import DISTANCE, SEED, components, gram_hashes, links, majority
 
 WORDS = 5
 #: Rows sampled for frequent shingles, how often one is then frequent, and how many are kept at most.
@@ -35,10 +39,11 @@ PIECE = 1 << 16
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the text's shingles; of fewer than five words the text
     is one shingle, without words an empty one."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = map(b" ".join, zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else [b" ".join(w)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64) >> np.uint64(1))
+    return _set(gram_hashes(text, WORDS))
+
+
+def _set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes >> np.uint64(1)) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED) >> 1], np.uint64)
 
 
 def prefix(n: int) -> int:
@@ -72,13 +77,14 @@ def _prefixes(often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = often.value
         for b in batches:
-            node, size, keys = [], [], []
+            node, size, keys, fp = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(t)
-                node.append(_node(s)), size.append(len(s))
+                hashes = gram_hashes(t, WORDS)
+                s = _set(hashes)
+                node.append(_node(s)), size.append(len(s)), fp.append(majority(hashes))
                 late = np.isin(s, last)
                 keys.append(np.concatenate([s[~late], s[late] | np.uint64(1 << 63)])[: prefix(len(s))].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "_r1", "_r2", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "_r1", "_r2", "node", "n", "keys", "fp"])
 
     return run
 
@@ -158,12 +164,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _links(rows: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
-    """(a, b): similar pairs among sets (node, n, keys, root, _r1, _r2) of different roots."""
+def proposed(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of sets (node, fp) whose fingerprints are linked, enough of them to join what
+    the links join: each set with the least of its fingerprint, and those along the links."""
+    least = written(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = sets.select("node", "fp").join(small_side(least), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = written(links(least.select("fp"), distance)).withColumnsRenamed({"a": "f", "b": "g"})
+    ends = lambda x, to: least.select(F.col("fp").alias(x), F.col("least").alias(to))
+    along = found.join(small_side(ends("f", "a")), "f").join(small_side(ends("g", "b")), "g").select("a", "b")
+    return equal.unionByName(along).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _links(rows: DataFrame, sets: DataFrame, star: bool, more: DataFrame | None = None) -> DataFrame:
+    """(a, b): similar pairs among sets (node, n, keys, root, _r1, _r2) of different roots, and of
+    those in more."""
     spread = sets.select("node", "n", "root", "keys").mapInArrow(_spread(FIRST if star else None), "key long, node long, n long, root long")
     met = spread.repartition(F.col("key")).sortWithinPartitions("key", "n").mapInArrow(_meet(star), "a long, b long, need long")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = written((pairs if star else pairs.where("shared >= need")).select("a", "b"))
+    pairs = (pairs if star else pairs.where("shared >= need")).select("a", "b")
+    pairs = written(pairs.unionByName(more).distinct() if more is not None else pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(sets.join(nodes, "node", "left_semi").select("_r1", "_r2"))
     texts = rows.join(small_side(wanted), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("text")
@@ -185,9 +204,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = rows.select("*", *row_key(F.col("doc_id"), F.col("text")))
     often = spark.sparkContext.broadcast(frequent(rows))
-    prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary"))
-    sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "_r1", "_r2", F.col("node").alias("root")))
-    first = _links(rows, sets, star=True)
+    prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary, fp long"))
+    sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "fp", "_r1", "_r2", F.col("node").alias("root")))
+    first = _links(rows, sets, star=True, more=proposed(sets))
     second = _links(rows, _rooted(sets, first), star=False)
     roots = _rooted(sets.select("node", "root"), first.unionByName(second))
     return prints.select("doc_id", "_r1", "_r2", "node").join(small_side(written(roots)), "node").select("doc_id", "_r1", "_r2", "root")

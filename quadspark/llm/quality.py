@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, held_out, training_labels, written
+from quadspark.llm.common import bounded_batches, held_out, training_rows, written
 
-#: Hashed words, length of the vectors, labelled rows a model is fitted on at most.
-WORDS, RANK, TRAIN_ROWS = 1 << 15, 8, 12_000
+#: Hashed words, length of the vectors, labelled rows a model is fitted on at most, and their characters.
+WORDS, RANK, TRAIN_ROWS, TRAIN_CHARS = 1 << 15, 8, 12_000, 48_000_000
 #: Edges of the bins of a share, and of a measure (powers of two).
 SHARES = np.array([0.001, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 BINS = len(SHARES) + 1
@@ -138,13 +138,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("of"), b.column("label"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["of", "label", "i", "v"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """A machine from at most `rows` labelled documents (a documented bound: the labels are
-    broadcast, and the driver holds their inputs, some 20 MB). None without labels."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Machine | None:
+    """A machine from at most `rows` labelled documents of `chars` characters in all (documented
+    bounds: the labels are broadcast, and the driver holds their inputs, 8 bytes for each different
+    word of a text). None without labels."""
     bounded_batches(docs.sparkSession)
-    chosen = training_labels(labels, "quality", rows).withColumnRenamed("doc_id", "of")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("of", (F.col("label") > 0).cast("int").alias("label"), "text")
+    sample = training_rows(docs, labels, "quality", rows, chars)
     found = written(sample.mapInArrow(_extract, "of long, label int, i binary, v binary")).orderBy("of", "i", "v").collect()
     if not found:
         return None
@@ -168,8 +167,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """Per row of docs: doc_id, held_out, score, predicted.
 
     Only the text decides a score. A null text is an empty one, scored by its measures. Without
-    labels every score is 0.5. A null doc_id is not held out. Repeated rows give repeated
-    results, an empty table none; other columns are not looked at."""
+    labels every score is 0.5. A null doc_id is not held out. Very long texts are read whole, in
+    time in proportion to their length. Repeated rows give repeated results, an empty table
+    none; other columns are not looked at."""
     machine = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = rows.mapInArrow(_score(machine), "doc_id long, score double")

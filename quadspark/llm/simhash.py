@@ -31,21 +31,30 @@ SEGMENTS = (21, 21, 22)
 PIECE = 1 << 14
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """A bit is set if it is set in over half of the shingles' hashes, repeats included. No
-    words: 0. Works through the hashes of a long text piece by piece."""
+def gram_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of the text's shingles, repeats included; none of a text without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both know ASCII only
     if not w:
-        return 0
+        return np.empty(0, "<u8")
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], "<u8")
+    return np.fromiter((digest(g, SEED) for g in grams), "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes. Works through many piece by piece."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), PIECE):
         ones += np.unpackbits(hashes[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(gram_hashes(text, words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
@@ -136,7 +145,7 @@ def _meet(distance: int, segments: tuple[int, ...]):
     """Reads (key, fp) sorted by key, gives the edges of each bucket, each edge once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_k, keep_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket, which may go on
         seen: set[tuple[int, int]] = set()
 
         def edges(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -160,15 +169,25 @@ def _meet(distance: int, segments: tuple[int, ...]):
                 pairs = np.array(sorted(out), np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.r_[keep_k, batch.column("key").to_numpy(zero_copy_only=False)]
-            f = np.r_[keep_f, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
-            cut = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
-            yield from edges(k[:cut], f[:cut])
-            keep_k, keep_f = k[cut:], f[cut:]
-        yield from edges(keep_k, keep_f)
+            k, f = batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut or not held or held[-1][0][-1] != k[0]:
+                if held and cut and held[-1][0][-1] == k[0]:  # the bucket ends in this batch
+                    own = int(np.searchsorted(k, k[0], "right"))
+                    held.append((k[:own], f[:own]))
+                    k, f, cut = k[own:], f[own:], cut - own
+                yield from flush()
+                yield from edges(k[:cut], f[:cut])
+            held.append((k[cut:], f[cut:]))
+        yield from flush()
 
     return run
 
@@ -229,9 +248,10 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """docs without all but one of each group that is joined by pairs of Jaccard similarity 0.8 or
-    more over five-word shingles (quadspark.llm.jaccard; fingerprints 4 bits apart are the query's
-    contract, and miss most such pairs): the smallest doc_id stays (nulls last; of rows with that
-    id one by content; of rows equal in id and text any one)."""
+    more over five-word shingles: the smallest doc_id stays (nulls last; of rows with that id one
+    by content; of rows equal in id and text any one). Pairs are proposed by fingerprints of five-word
+    shingles within DISTANCE bits, found by the pigeonring, and checked by their shingles; what is as
+    similar but farther apart in bits is found by a second search (quadspark.llm.jaccard)."""
     from quadspark.llm import jaccard
 
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r1", "_r2")).alias("best")

@@ -2,12 +2,15 @@
 
 Letters may have been replaced by look-alikes, spread by spaces or dots, or repeated. Spans
 that look so become lattices: at each character the letters it may stand for, and whether it
-was put in; Viterbi finds the likeliest reading under a character trigram model, whose counts
-come from all documents. The restored words are scored with weights learned from labelled rows.
+was put in; Viterbi finds the likeliest reading under a character trigram model. Its alphabet
+and its counts come from all documents: letters of any script that are frequent enough are
+classes of their own. The words of a text, and those of its spans as they are restored, are
+scored with weights learned from labelled rows.
 """
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import nlargest
 
@@ -17,97 +20,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, held_out, training_labels, written
+from quadspark.llm.common import bounded_batches, held_out, training_rows, written
 
-#: Classes of the model: 0 a word's border, 1 to 26 the letters, 27 any other byte of a letter.
-CLASSES = 28
+#: Letters that are classes of the model, at most: a to z, then the most frequent ones of all
+#: documents. Class 0 is a word's border, the last one any other letter.
+LETTERS_KEPT, BORDER = 126, 0
+A_TO_Z = "abcdefghijklmnopqrstuvwxyz"
 #: Look-alikes and the letters they may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e"}
 SEPARATORS = " .-_*"
 #: Costs of the channel, in nats.
 SUBSTITUTED, KEPT, TWICE, REPEATED, SPREAD, BROKEN = 1.0, 8.0, 3.0, 0.5, 0.3, 2.0
-#: Labelled rows that a model is fitted on, at most, and words it keeps.
-TRAIN_ROWS, MOST_WORDS = 20_000, 20_000
-#: The strongest words of a text that count; characters of a word's beginning that count as a word of its own.
+#: Labelled rows that a model is fitted on, and their characters, at most.
+TRAIN_ROWS, TRAIN_CHARS = 20_000, 64_000_000
+#: The strongest words of a text that count: weak evidence must not add up with a text's length.
+#: Characters of a word's beginning that count as a word of its own.
 STRONGEST, BEGINNINGS = 3, (4, 5)
 #: Readings a worker remembers before it starts anew.
 MEMORY = 400_000
+#: A character that is repeated more often is to the lattice as one repeated so often.
+RUN = 4
+LONG_RUN = re.compile(rf"(.)\1{{{RUN},}}", re.S)
 
 
-def _table() -> bytes:
-    out = bytearray(256)
-    for i in range(26):
-        out[97 + i] = out[65 + i] = i + 1
-    for i in range(128, 256):
-        out[i] = 27
-    return bytes(out)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-TABLE = _table()
-
-
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CLASSES**3, np.int64)
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(0x110000, np.int64)
     for b in batches:
-        for t in b.column("data").to_pylist():
-            x = np.frombuffer((b"\n\n" + t + b"\n").translate(TABLE), np.uint8).astype(np.int32)
-            for i in range(0, len(x) - 2, 1 << 20):
-                y = x[i : i + (1 << 20) + 2]
-                counts += np.bincount((y[:-2] * CLASSES + y[1:-1]) * CLASSES + y[2:], minlength=CLASSES**3)
+        for t in b.column("text").to_pylist():
+            x = _codes(t)
+            counts[: int(x.max()) + 1 if len(x) else 0] += np.bincount(x) if len(x) else 0
     at = np.flatnonzero(counts)
+    at = at[[chr(c).isalpha() for c in at.tolist()]] if len(at) else at
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["code", "n"])
 
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities [a, b, c] of c after a and b, from the trigram counts of all documents.
-    The driver gets at most CLASSES ** 3 sums."""
-    data = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    counts = np.zeros(CLASSES**3)
-    for r in data.mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        counts[r["code"]] = r["n"]
-    three = counts.reshape(CLASSES, CLASSES, CLASSES)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-    p1 = (one + 1) / (one.sum() + CLASSES)
-    p2 = (two + 5 * p1[None, :]) / (two.sum(axis=1, keepdims=True) + 5)
-    return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
+def _trigrams(alphabet: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = len(alphabet) + 2
+        table = np.zeros(0x110000, np.uint8)
+        table[[c for c in range(0x110000) if chr(c).isalpha()]] = classes - 1
+        for i, c in enumerate(alphabet):
+            table[ord(c)] = i + 1
+        counts = np.zeros(classes**3, np.int64)
+        edge = np.zeros(2, np.int32)
 
+        def add(x: np.ndarray) -> None:
+            np.add(counts, np.bincount((x[:-2] * classes + x[1:-1]) * classes + x[2:], minlength=classes**3), out=counts)
 
-def _class(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+        for b in batches:
+            held, size = [edge], 2
+            for t in b.column("text").to_pylist():  # texts follow each other, with borders between
+                held += [table[_codes(t)].astype(np.int32), edge]
+                size += len(held[-2]) + 2
+                if size > 1 << 20:
+                    add(np.concatenate(held))
+                    held, size = [edge], 2
+            add(np.concatenate(held))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["code", "n"])
 
+    return run
 
-def decode(span: str, model: list) -> str:
+
+class Model:
+    """Log probabilities of a class after two others, and the class of each character."""
+
+    def __init__(self, alphabet: str, counts: np.ndarray) -> None:
+        self.alphabet, n = alphabet, len(alphabet) + 2
+        three = counts.reshape(n, n, n).astype(np.float64)
+        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+        p1 = (one + 1) / (one.sum() + n)
+        p2 = (two + 5 * p1[None, :]) / (two.sum(axis=1, keepdims=True) + 5)
+        self.n, self.logs = n, np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32).tobytes()
+        self.costs: array | None = None
+        self.of = {c: i + 1 for i, c in enumerate(alphabet)}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"costs": None}
+
+    def cost(self) -> array:
+        """Of class c after a and b: at (a n + b) n + c."""
+        if self.costs is None:
+            self.costs = array("f")
+            self.costs.frombytes((-np.frombuffer(self.logs, np.float32)).tobytes())
+        return self.costs
+
+    def kind(self, c: str) -> int:
+        k = self.of.get(c)
+        return k if k is not None else self.n - 1 if c.isalpha() else BORDER
+
+
+def character_model(docs: DataFrame, letters: int = LETTERS_KEPT) -> Model:
+    """From all documents, in two passes: the alphabet, then the trigrams. The driver gets as many
+    counts as there are different letters, then different trigrams of classes (2 million at most);
+    both grow with what the corpus holds."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.mapInArrow(_letters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(letters)
+    alphabet = A_TO_Z + "".join(sorted({chr(r["code"]) for r in found.collect()} - {*A_TO_Z}))[: letters - len(A_TO_Z)]
+    sums = texts.mapInArrow(_trigrams(alphabet), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(alphabet) + 2) ** 3)
+    counts[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
+    return Model(alphabet, counts)
+
+
+def decode(span: str, model: Model) -> str:
     """The likeliest reading of a lower-cased span. Linear in its length: a state is the last
     two classes, and few are reached."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    span = LONG_RUN.sub(lambda m: m[1] * RUN, span)
+    cost, n, kind = model.cost(), model.n, model.kind
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for i, ch in enumerate(span):
-        arcs: list[tuple[str, float]]
         again = bool(i) and span[i - 1] == ch
         extra_copy = REPEATED if again and (span[i + 1 : i + 2] == ch or span[i - 2 : i - 1] == ch) else TWICE
-        if ch.isalpha():
-            arcs = [(ch, 0.0)]
-            if again:
-                arcs.append(("", extra_copy))
-        elif ch in SEPARATORS:
-            arcs = [("", SPREAD), (" ", BROKEN)]
+        if ch in SEPARATORS:
+            arcs = [("", -1, SPREAD), (" ", BORDER, BROKEN)]
         elif ch in LOOK_ALIKES:
-            arcs = [*((c, SUBSTITUTED) for c in LOOK_ALIKES[ch]), (ch, KEPT)]
-            if again:
-                arcs.append(("", extra_copy))
+            arcs = [*((c, kind(c), SUBSTITUTED) for c in LOOK_ALIKES[ch]), (ch, kind(ch), KEPT)]
         else:
-            arcs = [(ch, 0.0)]
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, way) in states.items():
-            for out, extra in arcs:
-                if out:
-                    c = _class(out)
-                    key, total, to = (b, c), cost + extra - model[a][b][c], (out, way)
+            arcs = [(ch, kind(ch), 0.0)]
+        if again and (ch.isalpha() or ch in LOOK_ALIKES):
+            arcs.append(("", -1, extra_copy))
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (so_far, way) in states.items():
+            for out, c, extra in arcs:
+                if c >= 0:
+                    at = state * n + c
+                    key, total, to = at % (n * n), so_far + extra + cost[at], (out, way)
                 else:
-                    key, total, to = (a, b), cost + extra, way
+                    key, total, to = state, so_far + extra, way
                 if key not in new or total < new[key][0]:
                     new[key] = (total, to)
         states = new
-    best = min(states.items(), key=lambda s: s[1][0] - model[s[0][0]][s[0][1]][0])[1][1]
+    best = min(states.items(), key=lambda s: s[1][0] + cost[s[0] * n])[1][1]
     out = []
     while best is not None:
         out.append(best[0])
@@ -131,8 +179,10 @@ OUTSIDE = "".join(c for c in EDGES if c not in LOOK_ALIKES)
 class Reader:
     """Words of texts, as they are and restored. Remembers what it read."""
 
-    def __init__(self, model: np.ndarray) -> None:
-        self.model, self.memory = model.tolist(), {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.memory: dict[str, frozenset[str]] = {}  # of tokens
+        self.spans: dict[str, frozenset[str]] = {}
 
     def token(self, token: str) -> frozenset[str]:
         """Words of a lower-cased token without white space."""
@@ -158,28 +208,21 @@ class Reader:
             found = self.memory[token] = self.token(token)
         return found
 
+    def span(self, key: str) -> frozenset[str]:
+        found = self.spans.get(key)
+        if found is None:
+            if len(self.spans) >= MEMORY:
+                self.spans.clear()
+            found = self.spans[key] = frozenset(LETTERS.findall(decode(key, self.model))) if LETTERS.search(key) else frozenset()
+        return found
+
     def spread(self, lower: str) -> set[str]:
         """Restored words of spans whose letters are spread out."""
-        out: set[str] = set()
-        for m in SPREAD_OUT.finditer(lower):
-            key = m[0]
-            if key not in self.memory:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[key] = frozenset(LETTERS.findall(decode(key, self.model)))
-            out |= self.memory[key]
-        return out
+        return set().union(*(self.span(m[0]) for m in SPREAD_OUT.finditer(lower)))
 
     def grouped(self, lower: str) -> set[str]:
         """Restored words of runs of short groups that aren't words of the text as it is."""
-        out: set[str] = set()
-        for m in GROUPS.finditer(lower):
-            key = GAP.sub(" ", m[0])
-            if key not in self.memory:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[key] = frozenset(LETTERS.findall(decode(key, self.model))) if LETTERS.search(key) else frozenset()
-            out |= self.memory[key]
+        out = set().union(*(self.span(GAP.sub(" ", m[0])) for m in GROUPS.finditer(lower)))
         return out.difference(LETTERS.findall(lower)) if out else out
 
     def all_words(self, text: str) -> set[str]:
@@ -221,7 +264,7 @@ def weight(a: float, b: float, pos: float, neg: float) -> float:
 
 
 class Scorer:
-    def __init__(self, model: np.ndarray, lexicon: dict[str, float], slope: float, bias: float) -> None:
+    def __init__(self, model: Model, lexicon: dict[str, float], slope: float, bias: float) -> None:
         self.reader, self.lexicon, self.slope, self.bias, self.memory = Reader(model), lexicon, slope, bias, {}
 
     def best(self, words: frozenset[str] | set[str]) -> float:
@@ -277,28 +320,26 @@ def _evidence(parts):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_words: int = MOST_WORDS):
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS):
     """The parts of a Scorer. Character counts are of all documents. Word weights come from at
-    most `rows` labelled rows (a documented bound, so they are broadcast), a third of which
-    calibrates scores made with the weights of the other two."""
+    most `rows` labelled rows of `chars` characters in all (documented bounds, so that the weights
+    can be broadcast), a third of which calibrates scores made with the weights of the other two."""
     spark = docs.sparkSession
     bounded_batches(spark)
     model = character_model(docs)
     shared = spark.sparkContext.broadcast(model)
-    chosen = training_labels(labels, "toxic", rows).withColumnRenamed("doc_id", "of")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     fold = (F.pmod(F.xxhash64(F.lit(3), "of"), F.lit(3)) > 0).cast("int")
-    sample = written(texts.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("text", (F.col("label") > 0).cast("int").alias("label"), fold.alias("fold")))
+    sample = written(training_rows(docs, labels, "toxic", rows, chars).select("text", "label", fold.alias("fold")))
     total = {(r["label"], r["fold"]): r["n"] for r in sample.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos1, neg1 = total.get((1, 1), 0), total.get((0, 1), 0)
     pos, neg = pos1 + total.get((1, 0), 0), neg1 + total.get((0, 0), 0)
     if not pos or not neg:
         return model, {}, 1.0, math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -5.0
     sums = sample.mapInArrow(_count(shared), "mark string, a long, b long, a1 long, b1 long").groupBy("mark").agg(*(F.sum(c).alias(c) for c in ("a", "b", "a1", "b1")))
-    found = sums.where(f"a >= 2 AND a * {neg} > 2 * b * {pos}").orderBy(F.desc(F.col("a") / F.lit(pos) - F.col("b") / F.lit(neg)), "mark").limit(most_words).collect()
+    found = sums.where(f"a >= 2 AND a * {neg} > 2 * b * {pos}").orderBy("mark").collect()  # bounded by the training rows
     final = {r["mark"]: w for r in found if (w := weight(r["a"], r["b"], pos, neg)) > 0.3}
     early = {r["mark"]: w for r in found if r["a1"] and (w := weight(r["a1"], r["b1"], pos1, neg1)) > 0.3} if pos1 and neg1 else {}
-    seen = sample.where("fold = 0").mapInArrow(_evidence(spark.sparkContext.broadcast((model, early, 1.0, 0.0))), "x double, label int").collect()
+    seen = sorted(sample.where("fold = 0").mapInArrow(_evidence(spark.sparkContext.broadcast((model, early, 1.0, 0.0))), "x double, label int").collect())
     x, y = np.array([r["x"] for r in seen], float), np.array([r["label"] for r in seen], float)
     slope, bias = _fit_line(x, y) if len(set(y.tolist())) > 1 else (1.0, -4.0)
     return model, final, max(slope, 0.05), bias
@@ -318,7 +359,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     Only the text decides a score. A null text is an empty one; texts without words get the
     score of no evidence. Without labels of both kinds the score is one number for all. A null
-    doc_id is not held out. Repeated rows give repeated results, an empty table none."""
+    doc_id is not held out. Very long texts are read whole, in time in proportion to their
+    length. Repeated rows give repeated results, an empty table none."""
     parts = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = rows.mapInArrow(_score(parts), "doc_id long, score double")

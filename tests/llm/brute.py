@@ -62,6 +62,30 @@ def near(rows, distance=4):
     return [(d, f"{fps[i]:016x}", least.get(find(i))) for i, (d, _) in enumerate(rows)]
 
 
+def similar(rows, least=0.8):
+    """[(id, text)] -> the smallest id of each group that pairs of similar texts join"""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    holders, group = defaultdict(list), list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for g in s or {None}:
+            holders[g].append(i)
+    for members in holders.values():
+        for n, i in enumerate(members):
+            for j in members[:n]:
+                if find(i) != find(j) and (sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= round(10 * least) * len(sets[i] | sets[j])):
+                    group[max(find(i), find(j))] = min(find(i), find(j))
+    out = {}
+    for i, (d, _) in enumerate(rows):
+        out[find(i)] = min(d, out.get(find(i), d))
+    return list(out.values())
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     """{source: size} -> {source: target}"""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

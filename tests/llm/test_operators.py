@@ -202,13 +202,14 @@ def test_viterbi_is_the_best_reading(reader):
 
     def cost(span, choice):
         total, a, b = 0.0, 0, 0
+        at = lambda a, b, c: reader.model.cost()[(a * reader.model.n + b) * reader.model.n + c]
         for out, extra in choice:
             total += extra
             if out:
-                c = toxicity._class(out)
-                total -= reader.model[a][b][c]
+                c = reader.model.kind(out)
+                total += at(a, b, c)
                 a, b = b, c
-        return total - reader.model[a][b][0]
+        return total + at(a, b, 0)
 
     for span in ("1d0", "a1l", "@s5", "x.1"):
         arcs = []
@@ -221,6 +222,80 @@ def test_viterbi_is_the_best_reading(reader):
         assert toxicity.decode(span, reader.model) == "".join(o for o, _ in best)
 
 
+def test_alphabet_is_of_the_documents(reader, spark):
+    m = toxicity.character_model(spark.createDataFrame([("abc éé ЖЖЖ 漢",), (None,), ("",)], "text string"))
+    assert set(m.alphabet) >= {*toxicity.A_TO_Z, "é", "ж", "漢"} and m.kind("é") != m.kind("ж") != m.kind("q") and m.kind("1") == 0 and m.kind("ß") == m.n - 1
+    assert reader.model.n > 28  # other letters than a to z are frequent there
+    assert toxicity.character_model(spark.createDataFrame([], "text string")).n >= 28
+
+
+def test_trigram_counts_are_exact(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab é1 ", k=rng.randrange(40))) for _ in range(200)]
+    alphabet = toxicity.A_TO_Z + "é"
+    import pyarrow as pa
+
+    got = next(toxicity._trigrams(alphabet)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    want, n = Counter(), len(alphabet) + 2
+    for t in texts:
+        x = [0, 0, *(alphabet.find(c) + 1 for c in t), 0, 0]
+        want.update((a * n + b) * n + c for a, b, c in zip(x, x[1:], x[2:], strict=False))
+    got = dict(zip(got.column("code").to_pylist(), got.column("n").to_pylist(), strict=True))
+    assert {k: v for k, v in got.items() if k} == {k: v for k, v in want.items() if k}  # three borders: however many
+
+
+@pytest.mark.parametrize("text", ["|" * 1_000_000, "a@@@" * 250_000, "|@" * 500_000, "a." * 500_000, "a" + " " * 1_000_000 + "aaaa", "a" + ".-_*" * 250_000 + "bbbbb", "1" * 1_000_000, "x" * 2_000_000])
+def test_long_texts_take_linear_time(reader, text):
+    from time import monotonic
+
+    start = monotonic()
+    toxicity.Reader(reader.model).all_words(text)
+    assert monotonic() - start < 40
+
+
+def test_readings_do_not_depend_on_what_was_read(reader):
+    texts = ["see a.b.c.d e there", "see a.b.c.d there", "a.b.c.d", "s t u p i d", "st-up-id x", "st-up-id"]
+    alone = [toxicity.Reader(reader.model).all_words(t) for t in texts]
+    for order in (texts, texts[::-1]):
+        r = toxicity.Reader(reader.model)
+        found = {t: r.all_words(t) for t in order}
+        assert [found[t] for t in texts] == alone
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7, "text"), labels.repartition(3))
+    assert one[1] == two[1] and one[2:] == two[2:] and one[0].logs == two[0].logs
+
+
+def test_hidden_words_are_restored(spark, reader):
+    """The gates and the lattice together: of words of the documents, hidden at random, nine in ten are restored."""
+    rng = random.Random(11)
+    text = " ".join(r.text for r in table(spark, "/root/testdata/sf0.1", "documents").where("lang = 'en' AND length(text) > 200").orderBy("doc_id").take(200)).lower()
+    words = sorted({w for w in text.split() if w.isascii() and w.isalpha() and 5 <= len(w) <= 9 and not any(a == b for a, b in zip(w, w[1:], strict=False))})
+    looks = {v: k for k, vs in toxicity.LOOK_ALIKES.items() for v in vs}
+    found = total = 0
+    for w in rng.sample(words, min(300, len(words))):
+        for kind in range(5):
+            i = rng.randrange(1, len(w) - 1)
+            if kind == 0:
+                at = [j for j, c in enumerate(w) if c in looks]
+                if not at:
+                    continue
+                j = rng.choice(at)
+                h = w[:j] + looks[w[j]] + w[j + 1 :]
+            elif kind == 1:
+                h = w[:i] + w[i] * rng.choice((2, 3, 6)) + w[i + 1 :]
+            else:
+                h = (" ", ".", "-")[kind - 2].join(w)
+            total += 1
+            found += w in reader.all_words(h)
+    assert total > 500 and found / total > 0.9, found / total
+
+
 def test_obfuscated_insults_are_found(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
@@ -294,6 +369,23 @@ def test_pivot_is_fair():
     assert total / 20_000 == pytest.approx([0.2, 0.5, 0.7, 0.6], abs=0.02)
 
 
+def test_equal_rows_are_rounded_together(spark, monkeypatch):
+    """A row that a third of the table repeats: planned once, made and numbered in pieces."""
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    rows = [(1, "a b c", "x", f"n{i}") for i in range(700)] + [(i, "w " * (i % 9), "y" if i % 2 else "x", "m") for i in range(2, 900)] + [(None, None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    out = mixing.mix(df).collect()
+    check_mix([r[:3] for r in rows], out)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in out:
+        want[r.doc_id] += r.copies
+    kept = mixing.mix_stage(df).collect()
+    for r in kept:
+        got[r.doc_id] += 1
+    assert {k: v for k, v in want.items() if v} == dict(got)
+    assert max(brute.counted(r.note for r in kept if r.doc_id == 1).values()) <= 2
+
+
 def test_water_filling():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.water_fill([], [], 0) == [] and mixing.water_fill([0, 10], [5, 2], 15) == [0.0, 15.0]
@@ -438,7 +530,7 @@ def test_very_long_runs():
     from tokenizers import Tokenizer
 
     fresh, e = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
-    for t in (" " * 1_200_000 + "x", "a" + "\n" * 1_200_000, "a" * 1_200_000):
+    for t in (" " * 2_000_000 + "x", "a" + "\n" * 2_000_000, "a" * 2_000_000, "x" + " " * 1_500_000 + "y"):
         assert np.array_equal(e(t), fresh.encode(t, add_special_tokens=False).ids)
 
 

@@ -27,8 +27,7 @@ def test_stages_on_their_own_inputs(spark, sf):
     assert brute.counted(by["line_dedup"]) == brute.counted(r for r in by["toxicity"] if scorer(r[1]) < 0.5)
     lines = brute.line_dedup([(r[0], r[1]) for r in by["line_dedup"]])
     assert brute.counted((r[0], r[1]) for r in by["simhash_near_dedup"]) == brute.counted((i, t) for i, _, _, t in lines)
-    near = brute.near([(r[0], r[1]) for r in by["simhash_near_dedup"]])
-    assert brute.counted(r[0] for r in by["mixing"]) == brute.counted({c for _, _, c in near})
+    assert brute.counted(r[0] for r in by["mixing"]) == brute.counted(brute.similar([(r[0], r[1]) for r in by["simhash_near_dedup"]]))
     mixed = defaultdict(int)
     for r in by["packing"]:
         mixed[r[0]] += 1
