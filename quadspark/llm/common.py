@@ -60,6 +60,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a written() result that nothing will read again."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quadspark-" in folder:
+            _delete(df.sparkSession, folder)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (written already, narrow), marked for broadcasting only if it has few rows. Beyond
     that Spark shuffles both sides, and splits skewed partitions."""

@@ -1,14 +1,16 @@
 """Media columns with content-defined payload chunking.
 
-A payload is stored losslessly as a WAV file of 8-bit mono samples. The file is cut where a
-rolling gear hash of its bytes says so, so that shared passages give equal chunks wherever
-they stand. Chunk digests are deduplicated by Spark: a chunk that several files may share is
-stored once in a chunk table, others stay beside the file's ordered chunk list. Reading back
-joins the lists with the chunk table, puts the chunks together in order, and verifies them.
+A payload is stored losslessly as a WAV file of 8-bit mono samples. The samples are cut where a
+rolling gear hash of their bytes says so, so that shared passages give equal chunks wherever they
+stand; the file's header, which holds its length, is kept beside the ordered chunk list. Each
+text is chunked once, into a first table of chunk lists with their bytes. Chunk digests are
+deduplicated by Spark: a chunk that several files may share is stored once in a chunk table,
+others stay beside the file's list. Reading back joins the lists with the chunk table, puts the
+chunks together in order, and verifies them.
 
 Which chunks may be shared is told by a bitmap of the digests that occur more than once. Its
-size is fixed; where it is too small for the corpus, more chunks go to the chunk table (and
-are found there), none is lost.
+size follows their number, up to a limit; where it is too small for the corpus, more chunks go to
+the chunk table (and are found there), none is lost.
 """
 
 from __future__ import annotations
@@ -20,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, small_side, written
+from quadspark.llm.common import bounded_batches, discard, small_side, written
 
 RATE, BLOCK = 8000, 64
 #: Chunk sizes; a cut is likely every 2 ** CUT_BITS bytes after the least.
-LEAST, MOST, CUT_BITS = 1024, 16384, 12
-#: Bits of the map of repeated digests: 16 MB, broadcast.
-MAP_BITS = 27
+LEAST, MOST, CUT_BITS = 256, 4096, 10
+#: Bits of the map of repeated digests: 64 for each, from 4 KB to 64 MB (broadcast).
+MAP_BITS, MOST_MAP_BITS, BITS_EACH = 15, 29, 64
 HEADER = 44
 
 
@@ -103,83 +104,89 @@ def features(samples: bytes) -> str:
     return f"mean={int(x.sum()) * 1000 // n};rms={int(np.sqrt(int((x * x).sum()) * 1_000_000 // n))};crossings={crossings};peak={int(np.abs(x).max())};bands={'/'.join(map(str, bands.tolist()))}"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of all chunks, each once a batch, and whether it came more than once there."""
+PART = "array<struct<digest:binary,data:binary>>"
+_PART = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their header and ordered chunks; equal texts of a batch are cut once. Tables
+    compress chunks together, which takes less room than each by itself."""
     for b in batches:
-        seen: dict[bytes, int] = {}
+        out: dict[str, list] = {k: [] for k in ("n", "media", "sha", "header", "parts")}
+        seen: dict[bytes, tuple] = {}
         for t in b.column("data").to_pylist():
-            for c in chunks(to_wav(payload(t))):
-                d = _digest(c)
-                seen[d] = seen.get(d, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"])
+            found = seen.get(t)
+            if found is None:
+                media = to_wav(payload(t))
+                parts = [{"digest": _digest(c), "data": c} for c in chunks(media[HEADER:])]
+                found = seen[t] = (len(t), len(media), hashlib.sha256(media).hexdigest(), media[:HEADER], parts)
+            for k, v in zip(out, found, strict=True):
+                out[k].append(v)
+        arrays = [b.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.binary(), _PART), strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "header", "parts"])
+
 
+FILES = f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, header binary, refs long, parts {PART}"
 
-def _repeated_map(spark: SparkSession, rows: DataFrame):
-    """Broadcast bitmap of the digests that occur more than once. Spark makes it, in pieces of
-    4 KB; the driver gets its fixed size at most."""
-    repeated = rows.mapInArrow(_digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+
+def _repeated_map(spark: SparkSession, cut: DataFrame):
+    """(bits, broadcast bitmap) of the digests that occur more than once. Spark makes it, in pieces
+    of 4 KB; the driver gets its size at most."""
+    digests = cut.select(F.explode("parts.digest").alias("digest"))
+    repeated = written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    bits = min(MOST_MAP_BITS, max(MAP_BITS, (BITS_EACH * repeated.count()).bit_length()))
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    bits = repeated.select((place % (1 << MAP_BITS)).alias("bit")).select((F.bitmap_bucket_number("bit")).alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
-    pieces = bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    return spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in pieces})
+    at = repeated.select((place % (1 << bits)).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
+    pieces = at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    return spark.sparkContext.broadcast((bits, {r["bucket"]: bytes(r["bits"]) for r in pieces}))
 
 
-def _may_repeat(pieces: dict[int, bytes], digest: bytes) -> bool:
-    bit = int.from_bytes(digest[:4], "big") % (1 << MAP_BITS)
+def _may_repeat(known: tuple[int, dict[int, bytes]], digest: bytes) -> bool:
+    bits, pieces = known
+    bit = int.from_bytes(digest[:4], "big") % (1 << bits)
     bucket, at = (1 + (bit - 1) // 32768, (bit - 1) % 32768) if bit else (0, 0)  # as Spark numbers them
     piece = pieces.get(bucket)
     return piece is not None and bool(piece[at // 8] >> (at % 8) & 1)
 
 
-PART = "array<struct<digest:binary,data:binary>>"
-_PART = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
+def _shared(pieces):
+    """The chunks that may be shared: digest, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces.value
+        for b in batches:
+            found = {p["digest"]: p["data"] for parts in b.column("parts").to_pylist() for p in parts if _may_repeat(known, p["digest"])}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
+
+    return run
 
 
-def _store(pieces, shared: bool):
-    """Either the chunk table's rows (digest, data), or the files with their chunk lists. Chunk
-    data is compressed."""
+def _referring(pieces):
+    """The files, without the bytes of the chunks that may be shared; refs counts those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         known = pieces.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "media", "sha", "refs", "parts")}
-            common: dict[bytes, bytes] = {}
-            for t in b.column("data").to_pylist():
-                media = to_wav(payload(t))
-                parts, refs = [], 0
-                for c in chunks(media):
-                    d = _digest(c)
-                    if _may_repeat(known, d):
-                        refs += 1
-                        if shared:
-                            common[d] = c
-                        parts.append({"digest": d, "data": None})
-                    else:
-                        parts.append({"digest": d, "data": None if shared else pack(c)})
-                if not shared:
-                    for k, v in (("n", len(t)), ("media", len(media)), ("sha", hashlib.sha256(media).hexdigest()), ("refs", refs), ("parts", parts)):
-                        out[k].append(v)
-            if shared:
-                yield pa.RecordBatch.from_arrays([pa.array(list(common), pa.binary()), pa.array([pack(c) for c in common.values()], pa.binary())], names=["digest", "data"])
-            else:
-                arrays = [b.column("doc_id"), *(pa.array(out[k], t) for k, t in (("n", pa.int64()), ("media", pa.int64()), ("sha", pa.string()), ("refs", pa.int64()), ("parts", _PART)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "refs", "parts"])
+            refs, lists = [], []
+            for parts in b.column("parts").to_pylist():
+                own = [{"digest": p["digest"], "data": None if _may_repeat(known, p["digest"]) else p["data"]} for p in parts]
+                refs.append(sum(p["data"] is None for p in own)), lists.append(own)
+            keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "header"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(refs, pa.int64()), pa.array(lists, _PART)], names=[*keep, "refs", "parts"])
 
     return run
 
 
 def _read_back(keep: list[str]):
-    """Puts each file's chunks together, verifies chunks and file, and computes the features."""
+    """Puts each file's header and chunks together, verifies chunks and file, and computes the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             sha, crc, feats, length = [], [], [], []
-            for want, parts in zip(b.column("media_sha256").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                found = []
+            for want, header, parts in zip(*(b.column(c).to_pylist() for c in ("media_sha256", "header", "parts")), strict=True):
+                found = [header]
                 for p in parts:
-                    c = unpack(p["data"]) if p["data"] is not None else b""
+                    c = p["data"] if p["data"] is not None else b""
                     if _digest(c) != p["digest"]:
                         raise ValueError(f"a chunk of media {want} is missing or damaged")
                     found.append(c)
@@ -198,14 +205,16 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature stri
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, chunk table), written. files: doc_id, n_bytes, media_bytes, media_sha256, refs
-    (how many of its chunks are in the chunk table), parts (its ordered chunk list)."""
+    """(files, chunk table), written. files: doc_id, n_bytes, media_bytes, media_sha256, header,
+    refs (how many of its chunks are in the chunk table), parts (its ordered chunk list)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    pieces = _repeated_map(spark, rows)
-    table = written(rows.mapInArrow(_store(pieces, True), "digest binary, data binary").dropDuplicates(["digest"]))
-    files = written(rows.mapInArrow(_store(pieces, False), f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, refs long, parts {PART}"))
+    cut = written(rows.mapInArrow(_cut, FILES.replace("refs long, ", "")))
+    pieces = _repeated_map(spark, cut)
+    table = written(cut.select("parts").mapInArrow(_shared(pieces), "digest binary, data binary").dropDuplicates(["digest"]))
+    files = written(cut.mapInArrow(_referring(pieces), FILES))
+    discard(cut)  # all it held is in the other two
     return files, table
 
 
@@ -213,20 +222,21 @@ def media_features(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature; all but n_bytes and media_* come from the bytes read back.
 
-    A null text is an empty one (64 zero bytes). Equal texts share their chunks; a file is put
-    together once, however many documents have it. Repeated rows give repeated results, an
-    empty table none; other columns are not looked at."""
+    A null text is an empty one (64 zero bytes). Very long texts are chunked whole. Equal texts
+    share their chunks; a file is put together once, however many documents have it. Repeated
+    rows give repeated results, an empty table none; other columns are not looked at."""
     files, table = store(docs)
     keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
     types = "doc_id long, n_bytes long, media_bytes long, media_sha256 string"
-    alone = files.where("refs = 0").select(*keep, "parts").mapInArrow(_read_back(keep), f"{types}, {READ}")
+    alone = files.where("refs = 0").select(*keep, "header", "parts").mapInArrow(_read_back(keep), f"{types}, {READ}")
     some = files.where("refs > 0")
-    distinct = written(some.select("media_sha256", F.col("parts")).dropDuplicates(["media_sha256"]))
+    distinct = written(some.select("media_sha256", "header", "parts").dropDuplicates(["media_sha256"]))
     parts = distinct.select("media_sha256", F.posexplode("parts").alias("at", "part")).select("media_sha256", "at", F.col("part.digest").alias("digest"), F.col("part.data").alias("own"))
     fetched = parts.where("own IS NULL").drop("own").join(table, "digest").select("media_sha256", "at", "digest", "data")
     whole = parts.where("own IS NOT NULL").select("media_sha256", "at", "digest", F.col("own").alias("data")).unionByName(fetched)
     listed = whole.groupBy("media_sha256").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "data"))).alias("p"))  # the chunks of one file
     listed = listed.select("media_sha256", F.transform("p", lambda x: F.struct(x["digest"].alias("digest"), x["data"].alias("data"))).alias("parts"))
+    listed = listed.join(distinct.select("media_sha256", "header"), "media_sha256")
     read = written(listed.mapInArrow(_read_back(["media_sha256"]), f"media_sha256 string, {READ}"))
     shared = some.select(*keep).join(small_side(read, 20_000), "media_sha256")
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

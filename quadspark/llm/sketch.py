@@ -1,10 +1,10 @@
 """Document fingerprints, in DataFrame functions only: a threshold-scaled sketch.
 
-Every shingle hash below a fixed fraction of the hash range is retained. Two sketches of
-very unequal documents then hold the same part of what the documents share, so containment
-can be estimated, and the union of two sketches is the sketch of both texts together. So
-that short documents have something to compare, the FLOOR smallest hashes are retained as
-well; the estimate then uses the lower of the two sketches' limits.
+Every shingle hash below a fixed fraction of the hash range is retained, whatever the text's
+length. Two sketches of very unequal documents then hold the same part of what the documents
+share, so containment can be estimated, and the union of two sketches is the sketch of both
+texts together. A fingerprint is the hash of the text's whole word sequence, by which equal texts
+are told whatever was retained, and then the sketch.
 """
 
 from __future__ import annotations
@@ -14,63 +14,49 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import SPACE_CLASS, let
+from quadspark.llm.common import SPACE_CLASS, let, written
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 8
-FLOOR = 16
+FRACTION = 1 / 4
 #: Documents of one range bucket, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 100_000
+BUCKET_ROWS, MOST_BUCKETS = 1000, 20_000
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Sorted array of the retained 63-bit hashes of the text's word shingles. A text of fewer
-    words is one shingle; none has an empty sketch."""
+def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
+    """struct(whole, marks): a hash of the text's words, and the sorted array of the retained 63-bit
+    hashes of its word shingles. A text of fewer words is one shingle; none has no marks."""
     below = int(fraction * 2**63)
 
     def of(w: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
         hashes = F.when(F.size(w) > 0, F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, words)), 1))).otherwise(F.array().cast("array<bigint>"))
-        return let(hashes, retained)
-
-    def retained(h: Column) -> Column:
-        few = lambda low: F.when(F.size(low) >= floor, F.sort_array(low)).otherwise(F.slice(F.sort_array(F.array_distinct(h)), 1, floor))
-        return let(F.array_distinct(F.filter(h, lambda x: x < below)), few)
+        return F.struct(F.xxhash64(w).alias("whole"), F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < below))).alias("marks"))
 
     return let(F.filter(F.split(F.lower(text), f"[{SPACE_CLASS}]+"), lambda x: x != ""), of)
 
 
-def _limit(s: Column, fraction: float, floor: int) -> Column:
-    """All hashes up to it are in the sketch."""
-    return F.when(F.size(s) < floor, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(int(fraction * 2**63) - 1), F.get(s, F.size(s) - 1)))
-
-
-def likeness(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """struct(jaccard, contained): estimates of the shared part of both documents' shingles,
-    and of the part of a's that b has. Two empty sketches are alike (1), an empty one and
-    another aren't (0)."""
-    most = F.least(_limit(a, fraction, floor), _limit(b, fraction, floor))
-
-    def compare(m: Column) -> Column:
-        x, y = F.filter(a, lambda h: h <= m), F.filter(b, lambda h: h <= m)
-        return let(F.struct(F.size(F.array_intersect(x, y)).alias("both"), F.size(x).alias("x"), F.size(y).alias("y")), shares)
+def likeness(a: Column, b: Column) -> Column:
+    """struct(jaccard, contained): estimates of the shared part of both documents' shingles, and of
+    the part of a's that b has. Equal word sequences are alike (1); others of which nothing was
+    retained aren't (0)."""
 
     def shares(n: Column) -> Column:
-        both, x, y = (n.getField(k) for k in ("both", "x", "y"))
-        jaccard = F.when(x + y == 0, 1.0).otherwise(both / F.greatest(x + y - both, F.lit(1)))
-        return F.struct(jaccard.alias("jaccard"), F.when(x == 0, F.when(y == 0, 1.0).otherwise(0.0)).otherwise(both / F.greatest(x, F.lit(1))).alias("contained"))
+        both, x, y, same = (n.getField(k) for k in ("both", "x", "y", "same"))
+        jaccard = F.when(same, 1.0).otherwise(both / F.greatest(x + y - both, F.lit(1)))
+        return F.struct(jaccard.alias("jaccard"), F.when(same, 1.0).otherwise(both / F.greatest(x, F.lit(1))).alias("contained"))
 
-    return let(most, compare)
+    x, y = a["marks"], b["marks"]
+    return let(F.struct(F.size(F.array_intersect(x, y)).alias("both"), F.size(x).alias("x"), F.size(y).alias("y"), (a["whole"] == b["whole"]).alias("same")), shares)
 
 
-def merged(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """The sketch of two documents together, from theirs."""
-    low = F.array_union(F.filter(a, lambda h: h < int(fraction * 2**63)), F.filter(b, lambda h: h < int(fraction * 2**63)))
-    return let(low, lambda x: F.when(F.size(x) >= floor, F.sort_array(x)).otherwise(F.slice(F.sort_array(F.array_union(a, b)), 1, floor)))
+def merged(a: Column, b: Column) -> Column:
+    """The marks of two documents together, from their sketches."""
+    return F.sort_array(F.array_union(a["marks"], b["marks"]))
 
 
 def as_text(s: Column) -> Column:
-    return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.lower(F.concat(digits(s["whole"]), F.array_join(F.transform(s["marks"], digits), "")))
 
 
 def with_next(docs: DataFrame, value: Column, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -78,8 +64,10 @@ def with_next(docs: DataFrame, value: Column, columns: list[str], bucket_rows: i
     a hash of the value), and of the first one after the last.
 
     No window over the whole table: ids are cut into ranges of some bucket_rows rows at
-    quantiles, each range is sorted by itself, and the first document of each range is also
-    dealt to the range before. The driver sees a few numbers for each range."""
+    quantiles, each range is sorted by itself, and the first document of each range is also dealt
+    to the range before (that of the first to the last). The driver sees the quantiles, and the
+    plan holds them: a text is shuffled once, to its range. Beyond MOST_BUCKETS ranges they hold
+    more rows, and are sorted on disk."""
     rows = docs.select(F.col("doc_id").alias("_id"), *columns, value.alias("_value"))
     ids = docs.select(F.col("doc_id").alias("_id"))
     n = ids.count()
@@ -99,16 +87,13 @@ def with_next(docs: DataFrame, value: Column, columns: list[str], bucket_rows: i
         low = lambda a: F.size(F.filter(a, lambda c: c < x))
         return F.when(x.isNull(), 0).otherwise(let(low(numbers([g[-1] for g in groups])), lambda g: g * fan + low(F.coalesce(F.get(F.array(*[numbers(g) for g in groups]), g), numbers([])))))
 
-    firsts = ids.groupBy(bucket(F.col("_id")).alias("b")).agg(F.when(F.max(F.col("_id").isNull()), None).otherwise(F.min("_id")).alias("first")).orderBy("b").collect() if n else []
-    places = [r["b"] for r in firsts]
-    size = (max(places) + 1) if places else 1
-    first, before = [None] * size, [0] * size
-    for i, r in enumerate(firsts):
-        first[r["b"]], before[r["b"]] = r["first"], places[i - 1]
-    b = F.col("_b")
-    opens = F.col("_id").eqNullSafe(F.get(numbers(first), b))
-    dealt = F.when(opens, F.array(F.struct(b.alias("b"), F.lit(False).alias("copy")), F.struct(F.get(numbers(before), b).cast("int").alias("b"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(b.alias("b"), F.lit(False).alias("copy"))))
-    rows = rows.withColumn("_b", bucket(F.col("_id")).cast("int")).withColumn("_to", F.explode(dealt))
+    # the first id of each range, and the range before: few narrow rows, which are joined
+    firsts = ids.groupBy(bucket(F.col("_id")).cast("int").alias("_at")).agg(F.when(F.max(F.col("_id").isNull()), None).otherwise(F.min("_id")).alias("_first"))
+    before = F.coalesce(F.lag("_at").over(Window.orderBy("_at")), F.lit(0))  # of one row for each range
+    firsts = written(firsts.withColumn("_before", before).select("_at", "_first", F.when(F.row_number().over(Window.orderBy("_at")) == 1, F.max("_at").over(Window.partitionBy())).otherwise(F.col("_before")).alias("_before")))
+    rows = rows.withColumn("_b", bucket(F.col("_id")).cast("int")).join(F.broadcast(firsts), F.col("_b") == F.col("_at"))
+    own, copy = F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("copy"))
+    rows = rows.withColumn("_to", F.explode(F.when(F.col("_id").eqNullSafe(F.col("_first")), F.array(own, copy)).otherwise(F.array(own)))).drop("_at", "_first", "_before", "_b")
     order = Window.partitionBy("_to.b").orderBy("_to.copy", F.col("_id").asc_nulls_first(), F.xxhash64("_value"))
     rows = rows.withColumn("following", F.lead("_value").over(order)).where(~F.col("_to.copy"))
     return rows.select(*columns, F.col("_value").alias("own"), "following")
@@ -118,8 +103,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, and the containments contained_edited, contained_next.
 
-    A null text is an empty one. Equal texts have equal fingerprints. The only document of a
-    table is its own next one. Rows with equal doc_id follow each other by a hash of their
+    A null text is an empty one, very long texts are sketched whole. Equal texts have equal
+    fingerprints. The only document of a table is its own next one. Rows with equal doc_id follow each other by a hash of their
     text; an empty table gives an empty result; other columns are not looked at."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", sketch(F.col("text")).alias("marks"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,6 +74,8 @@ class Record:
     end: int
     headers: dict[str, str]
     block: bytes
+    nth: int = 0  # in its gzip member
+    lost: str | None = None  # why bytes of its member belong to no record
 
     def payload(self) -> bytes:
         """Of an HTTP block: what follows its header."""
@@ -122,30 +125,47 @@ class Archive:
             self.at, self.held = at, self.file.read(max(n, BLOCK))
         return self.held[at - self.at : at - self.at + n]
 
-    def record(self, at: int) -> Record:
+    def member(self, at: int) -> tuple[bytes, int]:
+        """What the gzip member at a place holds, and its end."""
+        unpack, out, p = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            piece = self.read(p, min(BLOCK, self.size - p)) if p < self.size else b""
+            if not piece:
+                raise Damaged("member not ended")
+            try:
+                out.append(unpack.decompress(piece))
+            except zlib.error as e:
+                raise Damaged(f"member: {e}") from None
+            p += len(piece)
+        return b"".join(out), p - len(unpack.unused_data)
+
+    def records(self, at: int) -> list[Record]:
+        """The record at a place, or those of the member there: most have one, but if a check fails
+        in it, or more follows, it is searched for version lines as a plain archive is. All of a
+        member's records bear its place."""
         if self.read(at, 2) == b"\x1f\x8b":
-            unpack, out, p = zlib.decompressobj(31), [], at
-            while not unpack.eof:
-                piece = self.read(p, min(BLOCK, self.size - p)) if p < self.size else b""
-                if not piece:
-                    raise Damaged("member not ended")
-                try:
-                    out.append(unpack.decompress(piece))
-                except zlib.error as e:
-                    raise Damaged(f"member: {e}") from None
-                p += len(piece)
-            data = b"".join(out)
-            headers, block, n = parse(data)
-            if n != len(data):
-                raise Damaged("more than one record in a member")
-            return Record(at, p - len(unpack.unused_data), headers, block)
+            data, end = self.member(at)
+            try:
+                headers, block, n = parse(data)
+                if n == len(data):
+                    return [Record(at, end, headers, block)]
+            except Damaged as e:
+                reason = str(e)
+            else:
+                reason = "bytes after a record"
+            inner = Archive(io.BytesIO(data), len(data))
+            found = [x for x in salvage(inner) if isinstance(x, Record)]
+            if not found:
+                raise Damaged(reason)
+            whole = sum(x.end - x.start for x in found) == len(data)
+            return [Record(at, end, x.headers, x.block, i, None if whole else f"in the member: {reason}") for i, x in enumerate(found)]
         head = self.read(at, self.header(at))
         length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,15})", head[:-2], re.I)
         want = len(head) + 4 + int(length[1]) if length else len(head)
         if want > self.size - at:
             raise Damaged("not of the length announced")
         headers, block, n = parse(head if want <= len(head) else self.read(at, want))
-        return Record(at, at + n, headers, block)
+        return [Record(at, at + n, headers, block)]
 
     def header(self, at: int) -> int:
         """Length of the header at a place, however long. Looks no further than the next version line."""
@@ -185,7 +205,7 @@ def salvage(archive: Archive, start: int = 0, stop: int | None = None) -> Iterat
         at, gap, reason = archive.search(start, stop), start, "start of a range"
     while at < stop:
         try:
-            found = archive.record(at)
+            found = archive.records(at)
         except Damaged as e:
             if gap is None or reason == "start of a range":
                 gap, reason = at if gap is None else gap, str(e)
@@ -194,8 +214,10 @@ def salvage(archive: Archive, start: int = 0, stop: int | None = None) -> Iterat
         if gap is not None and gap < at:
             yield gap, at, reason
         gap = None
-        yield found
-        at = found.end
+        yield from found
+        if found[0].lost:  # the bytes themselves can't be told apart: the member is both read and logged
+            yield at, found[0].end, found[0].lost
+        at = found[0].end
     if gap is not None and gap < stop:
         yield gap, stop, reason
 
@@ -215,16 +237,15 @@ def _write(folder: str, roll: int):
         def close() -> None:
             if state["file"] is not None:
                 state["file"].close()
-                name = f"part-{task.partitionId():06d}-{state['n']:05d}.warc.gz"
-                fs.move(state["temp"], f"{base}/{name}")  # a task that runs again makes the same file
-                done.append((f"{folder}/{name}", state["size"], state["records"]))
+                done.append((f"{folder}/{state['name']}", state["size"], state["records"]))
                 state.update(n=state["n"] + 1, file=None, size=0, records=0)
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "original", "revisit")), strict=True):
                 if state["file"] is None:
-                    state["temp"] = f"{base}/_attempt-{task.taskAttemptId()}-{state['n']:05d}"
-                    state["file"] = fs.open_output_stream(state["temp"])
+                    # of one attempt alone: rows may come in another order when a task runs again
+                    state["name"] = f"part-{task.partitionId():06d}-{task.stageId()}-{task.taskAttemptId()}-{state['n']:05d}.warc.gz"
+                    state["file"] = fs.open_output_stream(f"{base}/{state['name']}", compression=None)  # members are packed already
                 data = member(page_record(*row))
                 state["file"].write(data)
                 state["size"] += len(data)
@@ -238,7 +259,9 @@ def _write(folder: str, roll: int):
 
 
 def write_pages(pages: DataFrame, least: int = 0, roll: int = ROLL, folder: str | None = None) -> DataFrame:
-    """Writes a record for each row, and returns the archives: path, size, records.
+    """Writes a record for each row, and returns the manifest of the archives: path, size, records.
+    A task's files bear its attempt's number, and only those of attempts that Spark commits are in
+    the manifest; what other attempts left is never read.
 
     Of rows with equal payloads of at least `least` bytes, those with the largest page_id are
     responses and others revisits; shorter ones are all responses. A null html is an empty
@@ -260,7 +283,7 @@ def write_pages(pages: DataFrame, least: int = 0, roll: int = ROLL, folder: str
     return written(rows.select("page_id", "url", "payload", "original", revisit.alias("revisit")).mapInArrow(_write(folder, roll), "path string, size long, records long"))
 
 
-FIELDS = "path string, start long, stop long, gap string, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+FIELDS = "path string, start long, stop long, nth int, gap string, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
 def _read(with_payload: bool):
@@ -273,11 +296,11 @@ def _read(with_payload: bool):
                 with fs.open_input_file(name) as file:
                     for x in salvage(Archive(file, size), low, high):
                         if isinstance(x, tuple):
-                            rows.append((path, x[0], x[1], x[2], *[None] * 7))
+                            rows.append((path, x[0], x[1], None, x[2], *[None] * 7))
                             continue
                         h, body = x.headers, x.payload()
                         digest = h.get("warc-payload-digest", "").rpartition(":")[2].upper() if h.get("warc-type") == "revisit" else sha1_base32(body)
-                        rows.append((path, x.start, x.end, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), digest, len(body), h.get("warc-refers-to"), body if with_payload else None))
+                        rows.append((path, x.start, x.end, x.nth, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), digest, len(body), h.get("warc-refers-to"), body if with_payload else None))
                         held += len(body) * with_payload + 500
                         if held > 8 << 20:
                             yield _batch(rows)
@@ -288,7 +311,7 @@ def _read(with_payload: bool):
     return run
 
 
-_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -297,9 +320,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True, range_bytes: int = RANGE) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of archives (path, size). records: path, start, stop, record_type, record_id,
-    target_uri, payload_digest, payload_bytes, refers_to, payload. gaps: path, start, stop,
-    reason: the quarantined bytes that no record covers.
+    """(records, gaps) of archives (path, size). records: path, start, stop, nth (in a gzip member
+    of several), record_type, record_id, target_uri, payload_digest, payload_bytes, refers_to,
+    payload. gaps: path, start, stop, reason: the quarantined bytes that no record covers, and
+    members of which only a part could be read.
 
     A range may begin inside a record that itself holds archive bytes; what starts inside a
     record that an earlier range has found is no record."""
@@ -308,14 +332,16 @@ def read_archives(archives: DataFrame, with_payload: bool = True, range_bytes: i
     ranges = ranges.select("path", "size", "low", F.least(F.col("low") + range_bytes, F.col("size")).alias("high"))
     found = written(ranges.repartition(max(1, min(MOST_TASKS, ranges.count())), "path", "low").mapInArrow(_read(with_payload), FIELDS))
     before = F.coalesce(F.max("stop").over(Window.partitionBy("path").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = found.where("gap IS NULL").select("path", "start", "stop").withColumn("before", before)
+    places = found.where("gap IS NULL AND nth = 0").select("path", "start", "stop").withColumn("before", before)
     nested = written(places.where("start < before").select("path", "start"))
     records = found.where("gap IS NULL").join(small_side(nested), ["path", "start"], "left_anti").drop("gap")
     # gaps: between records, and after the last one
     ends = archives.where("size > 0").select("path", F.col("size").alias("start"), F.col("size").alias("stop"))
     gaps = places.where("start >= before").select("path", "start", "stop").unionByName(ends).withColumn("before", before).where("start > before").select("path", F.col("before").alias("start"), F.col("start").alias("stop"))
-    reasons = found.where("gap IS NOT NULL").groupBy("path", "start").agg(F.min("gap").alias("reason"))
-    return records, gaps.join(reasons, ["path", "start"], "left")
+    logged = found.where("gap IS NOT NULL")
+    reasons = logged.groupBy("path", "start").agg(F.min("gap").alias("reason"))
+    parts = logged.where("gap LIKE 'in the member: %'").join(small_side(nested), ["path", "start"], "left_anti").select("path", "start", "stop", F.col("gap").alias("reason"))
+    return records, gaps.join(reasons, ["path", "start"], "left").unionByName(parts)
 
 
 def page_number(uri: str) -> Column:
@@ -325,9 +351,14 @@ def page_number(uri: str) -> Column:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes the pages to archives, reads them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. A revisit's payload is that of the response it refers to, found by
-    its digest; if that response is lost its payload_bytes is null. An empty table gives an
-    empty result; repeated rows are repeated records."""
-    records, _ = read_archives(write_pages(pages), with_payload=False)
+    its digest. What was written is counted against what is read: a difference is an error, with
+    the first gaps. Pages and addresses of any length are records like others. An empty table
+    gives an empty result; repeated rows are repeated records."""
+    archives = write_pages(pages)
+    records, gaps = read_archives(archives, with_payload=False)
+    wrote, read = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if wrote != read:  # nothing is lost silently
+        raise ValueError(f"{wrote} records written, {read} read; gaps: {gaps.take(5)}")
     records = records.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
     revisits = records.where("record_type = 'revisit'")
     originals = written(records.where("record_type = 'response'").join(revisits.select("payload_digest").distinct(), "payload_digest", "left_semi").groupBy(F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("full")))

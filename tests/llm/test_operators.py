@@ -123,7 +123,7 @@ def test_gaps_are_logged(spark, tmp_path):
         assert sorted((g.start, g.stop - g.start) for g in gaps.collect()) == [(first, 320), (first + 320 + sum(map(len, parts[5:12])), len(parts[12]) - 9)]
 
 
-@pytest.mark.parametrize("long", [65_000, 70_000, 262_000, 700_000])
+@pytest.mark.parametrize("long", [65_000, 70_000, 262_000, 2_000_000])
 def test_headers_of_any_length(spark, long):
     rows = [(1, "u", "<p>one</p>"), (2, "data:," + "é" * long, "<p>one</p>"), (3, "data:," + "x" * long, "two")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -134,6 +134,42 @@ def test_headers_of_any_length(spark, long):
         assert [warc_number(x.headers["warc-record-id"]) for x in found] == [1, 2, 3]
 
 
+def test_members_of_several_records(spark, tmp_path):
+    """A file compressed as a whole, and members of some records, one of them damaged before it was compressed."""
+    parts = members(12, packed=False)
+    hurt = bytearray(parts[7])
+    hurt[-9] ^= 0xFF
+    data = warc.member(b"".join(parts[:5])) + warc.member(parts[5]) + warc.member(parts[6] + bytes(hurt) + parts[8]) + warc.member(b"".join(parts[9:]))
+    (tmp_path / "m.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([(str(tmp_path / "m.warc.gz"), len(data))], "path string, size long")
+    for size in (1 << 20, 200):
+        records, gaps = warc.read_archives(archives, range_bytes=size)
+        assert sorted(warc_number(r.record_id) for r in records.collect()) == [i for i in range(12) if i != 7]
+        assert [g.reason for g in gaps.collect()] == ["in the member: bytes after a record"]
+
+
+def test_each_attempt_writes_its_own_files(spark, pages, tmp_path):
+    """Files of an attempt that isn't committed, with other bytes, change nothing."""
+    folder = f"file://{tmp_path}/a"
+    archives = warc.write_pages(pages, roll=500, folder=folder)
+    names = {r.path for r in archives.collect()}
+    again = {r.path for r in warc.write_pages(pages.orderBy(F.rand()), roll=700, folder=folder).collect()}
+    assert not names & again
+    records, gaps = warc.read_archives(archives)
+    assert records.count() == pages.count() == archives.agg(F.sum("records")).first()[0] and gaps.count() == 0
+
+
+def test_lost_records_are_an_error(spark, pages, monkeypatch):
+    write = warc.write_pages
+
+    def short(p):
+        return write(p).withColumn("size", F.col("size") - 3)
+
+    monkeypatch.setattr(warc, "write_pages", short)
+    with pytest.raises(ValueError, match="records written"):
+        warc.archive_pages(pages)
+
+
 def warc_number(s):
     return int(s.rsplit(":", 1)[1].rstrip(">"))
 
@@ -296,6 +332,14 @@ def test_hidden_words_are_restored(spark, reader):
     assert total > 500 and found / total > 0.9, found / total
 
 
+def test_shortcut_reads_as_the_lattice_does(reader):
+    rng = random.Random(5)
+    for _ in range(20_000):
+        w = "".join(rng.choices("abeilorstéж", k=rng.randrange(1, 14)))
+        read = toxicity._doubles(w, reader.model)
+        assert read is None or read == toxicity.decode(w, reader.model), w
+
+
 def test_obfuscated_insults_are_found(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
@@ -431,9 +475,11 @@ def test_fingerprints(spark, wide, empty, sf, real):
                 assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(edited)), i
                 for got, a, b in ((r.near_edited, t, edited), (r.near_next, t, follow)):
                     x, y = brute.shingles(a), brute.shingles(b)
-                    errors.append(got - (len(x & y) / len(x | y) if x | y else 1.0))
+                    if len(x | y) >= 20:  # a fixed fraction of fewer shingles tells little
+                        errors.append(got - len(x & y) / len(x | y))
+                    assert a != b or got == 1.0
             assert seen.setdefault(t, r.fingerprint) == r.fingerprint and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.15
+        assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.15, (np.mean(errors), np.std(errors))
 
     out = sketch.fingerprints(wide).collect()
     assert len(out) == len(ROWS)
@@ -460,7 +506,21 @@ def test_sketches_merge_and_contain(spark):
     r = s.select(sketch.likeness(F.col("b"), F.col("a")).alias("x"), sketch.merged(F.col("b"), F.col("c")).alias("m"), sketch.likeness(F.col("a"), F.col("a")).alias("same")).first()
     assert r.x.contained == 1.0 and 0.03 < r.x.jaccard < 0.12 and r.same.jaccard == 1.0
     union = {*brute.shingles(" ".join(words[:200])), *brute.shingles(" ".join(words[1500:]))}
-    assert len(r.m) == pytest.approx(len(union) / 8, rel=0.35)
+    assert len(r.m) == pytest.approx(len(union) / 4, rel=0.25)
+
+
+def test_sketches_hold_all_low_hashes(spark):
+    """At every length, and nothing else; short texts that differ are not alike."""
+    words = [f"t{i % 700}" for i in range(3000)]
+    texts = [" ".join(words[:n]) for n in (0, 1, 3, 5, 9, 40, 700, 3000)] + ["A  b\tc", "a b c", "other text of eight words in all here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice("w", i, 5)), 1))
+    rows = df.withColumn("w", F.filter(F.split(F.lower("t"), r"[ \t]+"), lambda x: x != "")).select("i", sketch.sketch(F.col("t")).alias("s"), F.when(F.size("w") > 0, each).otherwise(F.array().cast("array<bigint>")).alias("h")).collect()
+    for r in rows:
+        assert list(r.s.marks) == sorted({h for h in r.h if h < 2**61})
+    assert rows[8].s == rows[9].s
+    both = df.alias("x").crossJoin(df.alias("y")).where("x.i < y.i").select("x.i", F.col("y.i").alias("j"), sketch.likeness(sketch.sketch(F.col("x.t")), sketch.sketch(F.col("y.t"))).alias("l")).collect()
+    assert all((r.l.jaccard == 1.0) == ({r.i, r.j} == {8, 9}) for r in both if r.i < 6 or r.j > 7)
 
 
 # 6 packing
@@ -650,11 +710,29 @@ def test_media_shares_chunks(spark):
     assert media.media_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 12
 
 
+def test_near_copies_share_chunks(spark):
+    """Texts of 600 words with one word changed, or some put in: at least a third of the chunks are shared."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        texts.append((2 * i, " ".join(words)))
+        words = list(words)
+        words[rng.randrange(600)] = "another"
+        if i % 2:
+            words.insert(rng.randrange(600), "and one more")
+        texts.append((2 * i + 1, " ".join(words)))
+    files, _ = media.store(spark.createDataFrame(texts, "doc_id long, text string"))
+    refs = files.agg(F.sum("refs").alias("r"), F.sum(F.size("parts")).alias("n")).first()
+    assert refs.r / refs.n > 1 / 3, refs
+    assert media.media_features(spark.createDataFrame([(1, "é" * 1_500_000), (2, None)], "doc_id long, text string")).count() == 2
+
+
 def test_damage_is_found(spark):
     files, _ = media.store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     bad = files.withColumn("media_sha256", F.lit("0" * 64))
     with pytest.raises(Exception, match="isn't what was stored"):
-        bad.select("doc_id", "media_sha256", "parts").mapInArrow(media._read_back(["doc_id"]), f"doc_id long, {media.READ}").collect()
+        bad.select("doc_id", "media_sha256", "header", "parts").mapInArrow(media._read_back(["doc_id"]), f"doc_id long, {media.READ}").collect()
 
 
 @settings(max_examples=60, deadline=None)
@@ -701,22 +779,70 @@ def test_secrets(spark, wide, empty, sf, real):
     assert "private_key:0:31" in {r.doc_id: r.spans for r in out}[10]
 
 
+def grams(*words):
+    return frozenset(g for w in words for g in secrets.trigrams(w.encode()))
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
-    assert q("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})} and q("[0-9a-f]+") is None
-    assert q("(abc|defg)x+") == {frozenset({"abc", "bcx"}) - {"bcx"} | {"abc"}} | {frozenset({"def", "efg"})} or len(q("(abc|defg)x+")) == 2
-    assert q("ab?cd") is None or q("ab?cd") == {frozenset({"acd"}), frozenset({"abc", "bcd"})}
+    assert q("AKIA[A-Z0-9]+") == {grams("akia")} and q("[0-9a-f]+") is None and q("ab") is None and q("a.c|xyz") is None
+    assert q("(abc|defg)x+") == {grams("abc"), grams("defg")}
+    assert q("ab?cd") in (None, {grams("acd"), grams("abcd")})
+    assert q(r"(?:key_)[a-z]{3,}?\.(?=zzz)end$") == {grams("key_", ".end")} and q("(?i)token") is None and q("(?i)gamma") == {grams("gamma")}
+    assert q(r"\x41bc[^\]]\d{2}(?P<n>xyz)*+[\w-]uvw") == {grams("abc", "uvw")} and q("é+abc") == {grams("abc", "é") - grams("é")} | set() or q("é+abc") is not None
     assert len(q(secrets.BASE[0].pattern)) >= 5
+    for bad in ("(abc", "[abc", "(?<n>x)"):
+        with pytest.raises(ValueError):
+            q(bad)
+
+
+RULES = [*secrets.BASE, *secrets.MORE]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="AKIapiseceytokn_=: 0a9Z'\"", max_size=80))
-def test_candidates_lose_nothing(text):
+@given(st.lists(st.text(alphabet="AKIapiseceytokn_=: 0a9Z'\"éſK", max_size=80), min_size=1, max_size=5))
+def test_candidates_lose_nothing(texts):
+    import re
+
+    scanner = secrets.Scanner(tuple(RULES))
+    index = secrets.Block([t.encode() for t in texts], scanner.wanted)
+    for r, query in zip(RULES, scanner.queries, strict=True):
+        assert {i for i, t in enumerate(texts) if re.search(r.pattern, t)} <= set(index.candidates(query))
+
+
+def test_faster_patterns_find_the_same():
+    import re
+
+    rng = random.Random(1)
+    for r in RULES:
+        if r.scan and r.span:
+            for _ in range(30_000):
+                t = "".join(rng.choices(["eyJ", "a.", "b12345678", ".", "eyJ", "abcdefgh", ".eyJ", " ", "-"], k=rng.randrange(1, 14)))
+                assert [m.span() for m in re.finditer(r.pattern, t)] == [m.span(r.span) for m in re.finditer(r.scan, t)], t
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 400_000 + " eyJ.", "eyJ.eyJ" * 150_000, "token " * 200_000, "a" * 2_000_000, "password" + " " * 2_000_000, "AKIA" * 300_000, "|" * 1_000_000])
+def test_long_texts_are_scanned_in_linear_time(text):
+    from time import monotonic
+
+    start = monotonic()
+    secrets.Scanner(tuple(RULES))([text])
+    assert monotonic() - start < 10
+
+
+def test_new_rules_read_candidates_only(spark, real, sf, monkeypatch):
+    """Against a scan of everything; what isn't in a candidate block isn't read."""
     import re
 
-    rules = [*secrets.BASE, *secrets.MORE]
-    grams = {g for r in rules for c in secrets.trigram_query(r.pattern) or () for g in c}
-    index = secrets.Block([text], grams)
-    for r in rules:
-        if re.search(r.pattern, text):
-            assert index.candidates(secrets.trigram_query(r.pattern)) == [0]
+    monkeypatch.setattr(secrets, "BLOCKS", 64)
+    docs = table(spark, sf, "documents")
+    index = secrets.Index(docs.unionByName(docs.limit(1).select(*[F.lit("one zyzzyva-77x here").alias(c) if c == "text" else F.lit(-5).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])))
+    assert secrets.find_secrets(docs).count() == len(real)
+    rule = secrets.Rule("new", r"zyzzyva-[0-9]+x?")
+    assert [tuple(r) for r in index.search(rule).collect()] == [(-5, "new:4:15")]
+    blocks = index.table.where("kind = 'doc'").select("grp", "block").distinct().count()
+    assert index.candidates(rule).count() == 1 < blocks
+    other = secrets.Rule("new", r"[a-z]*(?:tion|ment)\b")
+    want = {(i, ",".join(f"new:{m.start()}:{m.end()}" for m in re.finditer(other.pattern, t or ""))) for i, t, _ in real}
+    assert {tuple(r) for r in index.search(other).collect() if r.doc_id != -5} == {w for w in want if w[1]}
+    assert secrets.Index(docs.limit(0)).search(rule).count() == 0
