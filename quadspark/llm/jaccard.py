@@ -6,14 +6,14 @@ five-word shingles. At 0.8 two fingerprints of 64 bits differ in some 10 bits, m
 can search at once, so that a second search finds the rest.
 
 That is prefix filtering: with shingles in one global order, two such sets share one of the first
-n - ceil(0.8 n) + 1 of each. Sets meet in the buckets of these; pairs that share too few of
-them to be similar are dropped, and the rest compared whole. Shingles that are frequent in a
-sample come last in the order, so that few of them are in a prefix; the sample changes what is
-compared, not what is found.
-
-Two rounds: the first checks SimHash's pairs, and links what shares one of the first two
-shingles to one set of the bucket; the second takes all prefixes but only pairs that the first
-hasn't joined. A large group of near copies is then no square of pairs.
+n - ceil(0.8 n) + 1 of each. Sets meet in the buckets of these; pairs that can't be similar if
+what they meet by is the first they share are dropped there, and the rest compared whole.
+Shingles that are frequent in a sample come last in the order, so that few of them are in a
+prefix; the sample changes what is compared, not what is found.
+
+Three rounds: the first checks SimHash's pairs, and compares each set of a bucket with the first
+of its sizes, the second with the last one; only the third takes all pairs, and of these only
+those that nothing has joined by then. A large group of near copies is then no square of pairs.
 """
 
 from collections.abc import Iterator
@@ -30,7 +30,7 @@ from quadspark.llm.simhash import DISTANCE, SEED, components, gram_hashes, links
 WORDS = 5
 #: Rows sampled for frequent shingles, how often one is then frequent, and how many are kept at most.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 3, 100_000
-#: Shingles of a set that the first round looks at.
+#: Shingles of a set, besides the frequent ones, that the first rounds look at.
 FIRST = 2
 #: Pairs handed on at once.
 PIECE = 1 << 16
@@ -82,70 +82,87 @@ def _prefixes(often):
                 hashes = gram_hashes(t, WORDS)
                 s = _set(hashes)
                 node.append(_node(s)), size.append(len(s)), fp.append(majority(hashes))
-                late = np.isin(s, last)
+                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 keys.append(np.concatenate([s[~late], s[late] | np.uint64(1 << 63)])[: prefix(len(s))].tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "_r1", "_r2", "node", "n", "keys", "fp"])
 
     return run
 
 
-def _spread(most: int | None):
+def _spread(star: bool):
+    """(key, node, n, root, at) of each set's prefix: at is the key's place. star: only the first
+    keys, and those that are frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [np.frombuffer(k, np.int64)[:most] for k in b.column("keys").to_pylist()]
+            keys, at = [], []
+            for k in b.column("keys").to_pylist():
+                x = np.frombuffer(k, np.int64)
+                places = np.flatnonzero((np.arange(len(x)) < FIRST) | (x < 0)) if star else np.arange(len(x))
+                keys.append(x[places]), at.append(places)
             times = [len(k) for k in keys]
             if keys:
                 columns = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n", "root")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *map(pa.array, columns)], names=["key", "node", "n", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *map(pa.array, columns), pa.array(np.concatenate(at).astype(np.int64))], names=["key", "node", "n", "root", "at"])
 
     return run
 
 
-def _meet(star: bool):
-    """Reads (key, node, n, root) sorted by key and n, gives pairs of each bucket whose sizes may
-    be similar and whose roots differ, and how many prefix shingles they must share. star: each
-    with the least of its sizes only."""
+def _meet(star: int):
+    """Reads (key, node, n, root, at) sorted by key and n, gives pairs of each bucket whose roots
+    differ and that may be similar if this is the first key they share: what stands behind it in
+    both is then all they can have in common. star: each with one of its sizes only, the first of
+    them, or with 2 the last; 0: all pairs."""
 
-    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = 0
         while i < len(n) - 1:
             end = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
-            at = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
-            if len(at):
-                # what isn't shared in the prefixes is behind the one that ends first
-                behind = (4 * n[at] + 4) // 5 - 1
-                yield np.full(len(at), node[i]), node[at], np.maximum(1, (4 * (n[i] + n[at]) + 8) // 9 - behind)
+            j, to = np.arange(i + 1, end), i
+            if star == 2:
+                j, to = np.arange(i, end - 1), end - 1
+            behind = np.minimum(n[to] - at[to], n[j] - at[j])
+            j = j[(root[j] != root[to]) & (9 * behind >= 4 * (n[to] + n[j]))]
+            if len(j):
+                yield np.full(len(j), node[to]), node[j]
             i = max(end, i + 1) if star else i + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((4, 0), np.int64)
+        held: list[np.ndarray] = []  # of the last bucket, which may go on
         out: list[tuple] = []
-        held = 0
+        count = 0
 
         def give() -> pa.RecordBatch:
-            a, b, need = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         def buckets(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal out, held
+            nonlocal out, count
             bounds = np.r_[0, np.flatnonzero(np.diff(x[0])) + 1, x.shape[1]]
             for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 i, j = bounds[k], bounds[k + 1]
-                for found in pairs(x[1, i:j], x[2, i:j], x[3, i:j]):
+                if x[3, i] == x[3, i:j].max() == x[3, i:j].min():
+                    continue  # all are joined already
+                for found in pairs(*x[1:, i:j]):
                     out.append(found)
-                    held += len(found[0])
-                    if held > PIECE:
+                    count += len(found[0])
+                    if count > PIECE:
                         yield give()
-                        out, held = [], 0
+                        out, count = [], 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.concatenate([kept, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "root")])], axis=1)
-            cut = int(np.searchsorted(x[0], x[0, -1]))  # the last bucket may go on
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "root", "at")])
+            if held and x[0, -1] == held[0][0, 0]:
+                held.append(x)
+                continue
+            x = np.concatenate([*held, x], axis=1)
+            cut = int(np.searchsorted(x[0], x[0, -1]))
             yield from buckets(x[:, :cut])
-            kept = x[:, cut:]
-        yield from buckets(kept)
+            held = [x[:, cut:]]
+        if held:
+            yield from buckets(np.concatenate(held, axis=1))
         if out:
             yield give()
 
@@ -175,14 +192,12 @@ def proposed(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return equal.unionByName(along).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _links(rows: DataFrame, sets: DataFrame, star: bool, more: DataFrame | None = None) -> DataFrame:
+def _links(rows: DataFrame, sets: DataFrame, star: int, more: DataFrame | None = None) -> DataFrame:
     """(a, b): similar pairs among sets (node, n, keys, root, _r1, _r2) of different roots, and of
     those in more."""
-    spread = sets.select("node", "n", "root", "keys").mapInArrow(_spread(FIRST if star else None), "key long, node long, n long, root long")
-    met = spread.repartition(F.col("key")).sortWithinPartitions("key", "n").mapInArrow(_meet(star), "a long, b long, need long")
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = (pairs if star else pairs.where("shared >= need")).select("a", "b")
-    pairs = written(pairs.unionByName(more).distinct() if more is not None else pairs)
+    spread = sets.select("node", "n", "root", "keys").mapInArrow(_spread(star > 0), "key long, node long, n long, root long, at long")
+    pairs = spread.repartition(F.col("key")).sortWithinPartitions("key", "n", "node").mapInArrow(_meet(star), "a long, b long")
+    pairs = written((pairs.unionByName(more) if more is not None else pairs).distinct())
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(sets.join(nodes, "node", "left_semi").select("_r1", "_r2"))
     texts = rows.join(small_side(wanted), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("text")
@@ -206,7 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = spark.sparkContext.broadcast(frequent(rows))
     prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary, fp long"))
     sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "fp", "_r1", "_r2", F.col("node").alias("root")))
-    first = _links(rows, sets, star=True, more=proposed(sets))
-    second = _links(rows, _rooted(sets, first), star=False)
-    roots = _rooted(sets.select("node", "root"), first.unionByName(second))
+    found = _links(rows, sets, 1, proposed(sets))
+    for star in (2, 0):
+        found = written(found.unionByName(_links(rows, written(_rooted(sets, found)), star)))
+    roots = _rooted(sets.select("node", "root"), found)
     return prints.select("doc_id", "_r1", "_r2", "node").join(small_side(written(roots)), "node").select("doc_id", "_r1", "_r2", "root")
