@@ -11,6 +11,7 @@ scored with weights learned from labelled rows.
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
 
@@ -40,6 +41,10 @@ STRONGEST, BEGINNINGS = 3, (4, 5)
 MEMORY = 400_000
 #: A character that is repeated more often is to the lattice as one repeated so often.
 RUN = 4
+#: Letters of short words, and how many of these are known at most.
+SHORT, SHORT_KEPT = 3, 1000
+SHORT_WORD = re.compile(rf"(?<!\w)[^\W\d_]{{1,{SHORT}}}(?!\w)")
+DOUBLED = re.compile(r"(.)\1")
 LONG_RUN = re.compile(rf"(.)\1{{{RUN},}}", re.S)
 
 
@@ -48,14 +53,22 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
+    """How often each letter, and each word of up to SHORT letters, is there."""
+    counts, words = np.zeros(0x110000, np.int64), Counter()
     for b in batches:
         for t in b.column("text").to_pylist():
             x = _codes(t)
-            counts[: int(x.max()) + 1 if len(x) else 0] += np.bincount(x) if len(x) else 0
-    at = np.flatnonzero(counts)
-    at = at[[chr(c).isalpha() for c in at.tolist()]] if len(at) else at
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["code", "n"])
+            if len(x):
+                counts[: int(x.max()) + 1] += np.bincount(x)
+                words.update(SHORT_WORD.findall(t.lower()))
+        if len(words) > MEMORY:
+            yield _counted(words)
+            words = Counter()
+    yield _counted(words + Counter({f"\0{chr(c)}": n for c, n in zip(np.flatnonzero(counts).tolist(), counts[counts > 0].tolist(), strict=True) if chr(c).isalpha()}))
+
+
+def _counted(words: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["key", "n"])
 
 
 def _trigrams(alphabet: str):
@@ -87,10 +100,11 @@ def _trigrams(alphabet: str):
 
 
 class Model:
-    """Log probabilities of a class after two others, and the class of each character."""
+    """Log probabilities of a class after two others, the class of each character, and the words of
+    up to SHORT letters that are frequent as they are."""
 
-    def __init__(self, alphabet: str, counts: np.ndarray) -> None:
-        self.alphabet, n = alphabet, len(alphabet) + 2
+    def __init__(self, alphabet: str, counts: np.ndarray, short: frozenset[str] = frozenset()) -> None:
+        self.alphabet, self.short, n = alphabet, short, len(alphabet) + 2
         three = counts.reshape(n, n, n).astype(np.float64)
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 1) / (one.sum() + n)
@@ -114,17 +128,47 @@ class Model:
         return k if k is not None else self.n - 1 if c.isalpha() else BORDER
 
 
-def character_model(docs: DataFrame, letters: int = LETTERS_KEPT) -> Model:
-    """From all documents, in two passes: the alphabet, then the trigrams. The driver gets as many
-    counts as there are different letters, then different trigrams of classes (2 million at most);
-    both grow with what the corpus holds."""
+def character_model(docs: DataFrame, letters: int = LETTERS_KEPT, short: int = SHORT_KEPT) -> Model:
+    """From all documents, in two passes: the alphabet and the short words, then the trigrams. The
+    driver gets `letters` and `short` counts, then one of each trigram of classes that is there (2
+    million at most); they grow with what the corpus holds."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.mapInArrow(_letters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(letters)
-    alphabet = A_TO_Z + "".join(sorted({chr(r["code"]) for r in found.collect()} - {*A_TO_Z}))[: letters - len(A_TO_Z)]
+    sums = written(texts.mapInArrow(_letters, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    top = lambda cond, most: [r["key"] for r in sums.where(cond).orderBy(F.desc("n"), "key").limit(most).collect()]
+    found, words = top(F.col("key").startswith("\0"), letters), top(~F.col("key").startswith("\0"), short)
+    alphabet = A_TO_Z + "".join(sorted({k[1] for k in found} - {*A_TO_Z}))[: letters - len(A_TO_Z)]
     sums = texts.mapInArrow(_trigrams(alphabet), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(alphabet) + 2) ** 3)
     counts[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
-    return Model(alphabet, counts)
+    return Model(alphabet, counts, frozenset(words))
+
+
+def _doubles(word: str, model: Model) -> str | None:
+    """decode() of a word of letters, where each letter stands once or twice in a row and pairs have
+    three letters or more between them: then each pair is read by itself. None for other words."""
+    m = DOUBLED.search(word)
+    if m is None:
+        return word
+    cost, n, out, last = model.cost(), model.n, [], -9
+    padded = [BORDER, BORDER, *map(model.kind, word), BORDER]
+    while m:
+        i = m.start()
+        if i - last < 5 or word[i + 2 : i + 3] == word[i]:
+            return None
+        last = i
+        a, b, c = padded[i], padded[i + 1], padded[i + 2]  # two before, the letter
+        end = padded[i + 4 : i + 6]
+        both, one, x, y, u, v = cost[(a * n + b) * n + c] + cost[(b * n + c) * n + c], cost[(a * n + b) * n + c] + TWICE, c, c, b, c
+        for d in end:
+            both += cost[(x * n + y) * n + d]
+            one += cost[(u * n + v) * n + d]
+            x, y, u, v = y, d, v, d
+        if one < both:
+            out.append(i)
+        m = DOUBLED.search(word, i + 1)
+    for i in reversed(out):
+        word = word[:i] + word[i + 1 :]
+    return word
 
 
 def decode(span: str, model: Model) -> str:
@@ -181,12 +225,16 @@ class Reader:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.memory: dict[str, frozenset[str]] = {}  # of tokens
+        self.memory: dict[str, frozenset[str] | tuple[str]] = {}  # of tokens
         self.spans: dict[str, frozenset[str]] = {}
 
-    def token(self, token: str) -> frozenset[str]:
+    def token(self, token: str) -> frozenset[str] | tuple[str]:
         """Words of a lower-cased token without white space."""
         core = token.strip(EDGES)
+        if core.isalpha() and token.strip(OUTSIDE) == core:  # the usual case, shortened
+            read = _doubles(core, self.model)
+            if read is not None:
+                return (core,) if read == core else (core, read)
         words = set(LETTERS.findall(core))
         # a look-alike at an end may as well be punctuation: both readings count
         for part in {core.rstrip("!"), token.strip(OUTSIDE)}:
@@ -200,7 +248,7 @@ class Reader:
         before, _, after = token.partition(core)
         return before + decode(core, self.model) + after if core else token
 
-    def words(self, token: str) -> frozenset[str]:
+    def words(self, token: str) -> frozenset[str] | tuple[str]:
         found = self.memory.get(token)
         if found is None:
             if len(self.memory) >= MEMORY:
@@ -221,8 +269,14 @@ class Reader:
         return set().union(*(self.span(m[0]) for m in SPREAD_OUT.finditer(lower)))
 
     def grouped(self, lower: str) -> set[str]:
-        """Restored words of runs of short groups that aren't words of the text as it is."""
-        out = set().union(*(self.span(GAP.sub(" ", m[0])) for m in GROUPS.finditer(lower)))
+        """Restored words of runs of short groups that aren't words of the text as it is. A run of
+        frequent short words of two letters or more is just that."""
+        short, out = self.model.short, set()
+        for m in GROUPS.finditer(lower):
+            key = GAP.sub(" ", m[0])
+            if key not in self.spans and all(len(g) > 1 and g in short for g in key.split()):
+                continue
+            out |= self.span(key)
         return out.difference(LETTERS.findall(lower)) if out else out
 
     def all_words(self, text: str) -> set[str]:
@@ -268,7 +322,10 @@ class Scorer:
         self.reader, self.lexicon, self.slope, self.bias, self.memory = Reader(model), lexicon, slope, bias, {}
 
     def best(self, words: frozenset[str] | set[str]) -> float:
-        return max((self.lexicon.get(m, 0.0) for m in marks(set(words))), default=0.0)
+        get, best = self.lexicon.get, 0.0
+        for w in words:  # over marks(words)
+            best = max(best, get(w, 0.0), *(get(f"{k}^{w[:k]}", 0.0) for k in BEGINNINGS if len(w) > k))
+        return best
 
     def evidence(self, text: str | None) -> float:
         """The sum of the weights of the strongest different tokens."""
