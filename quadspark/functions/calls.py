@@ -286,9 +286,10 @@ def component(i: int) -> Callable[..., Val]:
 
 def parse_n3(s: Column) -> Column:
     """A term from its N-Triples text."""
-    raw = F.regexp_extract(s, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in ((r"\\t", "\t"), (r"\\n", "\n"), (r"\\r", "\r"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        raw = F.regexp_replace(raw, a, b)
+    raw = F.regexp_extract(s, r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
+    # escapes are those of JSON strings
+    read = F.from_json(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"})["v"]
+    raw = F.when(F.instr(raw, "\\") > 0, read).otherwise(raw)
     tag = F.regexp_extract(s, r'"@([A-Za-z0-9-]+?)(?:--(ltr|rtl))?$', 1)
     way = F.regexp_extract(s, r'"@([A-Za-z0-9-]+?)(?:--(ltr|rtl))?$', 2)
     dt = F.regexp_extract(s, r'"\^\^<([^>]*)>$', 1)

@@ -35,6 +35,7 @@ class Entry:
     rows: float
     values: dict[str, float] = field(default_factory=dict)
     make: Callable[[], Rel] | None = None
+    bound: Callable[[Rel], Rel | None] | None = None  # makes it for the solutions found so far
 
     def with_(self, other: Entry) -> Entry:
         """An estimate of the join."""
@@ -66,7 +67,8 @@ def join_order(entries: list[Entry]) -> list[int]:
 def joined(entries: list[Entry]) -> Rel | None:
     out = None
     for i in join_order(entries):
-        r = entries[i].make()
+        r = entries[i].bound(out) if out is not None and entries[i].bound is not None else None
+        r = entries[i].make() if r is None else r
         out = r if out is None else join(out, r)
     return out
 
@@ -81,7 +83,8 @@ def visible(r: Rel) -> set[str]:
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, sources: list, context: Context, services: dict[str, list] | None = None, default: tuple = (), named: tuple = (), opt_plus: bool = False) -> None:
+    def __init__(self, spark: SparkSession, sources: list, context: Context, services: dict[str, list] | None = None, default: tuple = (), named: tuple = (), opt_plus: bool = False, at: Callable[[str], object] | None = None) -> None:
+        self.at = at  # finds a source by its address
         self.opt_plus = opt_plus
         self.spark, self.sources, self.c, self.services = spark, sources, context, services or {}
         self.default, self.named = default, named
@@ -142,7 +145,10 @@ class Lowering:
             known = [x.estimate(s, found, g) for x in self.sources]
             rows = max(1.0, sum(n for n, _ in known))
             values = {v: min(rows, sum(d.get(v, n) for n, d in known)) for v in names}
-            out.append(Entry(names, rows, values, lambda s=s, found=found, g=g: self.star(s, found, g)))
+            bound = None
+            if len(self.sources) == 1 and hasattr(self.sources[0], "bound_star") and not self.closed(g):
+                bound = lambda left, s=s, found=found, g=g: self.sources[0].bound_star(left, s, found, self.graph(g))
+            out.append(Entry(names, rows, values, lambda s=s, found=found, g=g: self.star(s, found, g), bound))
         return out
 
     def inner_join(self, p: Join) -> Rel:
@@ -378,11 +384,19 @@ class Lowering:
         return union([met.only(names), rest.only([v for v in left.vars if v != "!row"])], names)
 
     def service(self, p: Service) -> Rel:
-        """Only a registered name; a failure gives one solution without bindings if it is silent."""
+        """A registered name, or the address of an endpoint, which gets the group as one query. A
+        failure, when planned or run, gives one solution without bindings if it is silent."""
         try:
-            if not isinstance(p.name, Term) or p.name.v not in self.services:
+            if not isinstance(p.name, Term):
                 raise ValueError(f"no service {p.name}")
-            r = Lowering(self.spark, self.services[p.name.v], self.c, self.services).lower(p.input)
+            sources = self.services.get(p.name.v)
+            if sources is None:
+                if self.at is None or not p.name.v.startswith("http"):
+                    raise ValueError(f"no service {p.name.v}")
+                sources = [self.at(f"sparql@{p.name.v}")]
+            if len(sources) == 1 and hasattr(sources[0], "whole"):
+                return sources[0].whole(p.input)
+            r = Lowering(self.spark, sources, self.c, self.services, at=self.at).lower(p.input)
             return Rel(written(r.df), dict(r.vars), set(r.nullable)) if p.silent and r.vars else r  # what fails when it runs fails here
         except Exception:
             if p.silent:

@@ -1,8 +1,10 @@
 """Property paths: negated sets and closures.
 
 A closure is a semi-naive fixpoint: only the pairs found last are extended, those known already
-are dropped, and each round is a table in the shared folder. From a constant end only what is
-reachable is visited. Closures are sets of pairs, within each graph by itself.
+are dropped, and each round is a table in the shared folder. What is known is made one table
+again every few rounds. If both ends are free and the paths go on for long, rounds come to double
+the length instead. From a constant end only what is reachable is visited. Closures are sets of
+pairs, within each graph by itself.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from quadspark.plans.algebra import Alt, Closure, Inv, Link, Nps, PathPattern, P
 from quadspark.terms import TERM_DDL, Enc, Term, box, iri, lit_col
 
 MOST_ROUNDS = 10_000
+#: Rounds after which what is known becomes one table, and after which lengths are doubled.
+COMPACT, DOUBLE_AFTER = 8, 16
 
 
 def pairs(path: object, g: object, pattern: Callable[[Pattern], Rel], nodes: Callable[[object], DataFrame]) -> Rel:
@@ -96,16 +100,44 @@ def closure(path: Closure, start: Term | None, end: Term | None, g: object, patt
     if identity is not None:
         known = written(known.union(identity).distinct())
     delta, keys = known, [cname(v) for v in names]
-    hop = edges.select(f.alias("x_from"), t.alias("x_to"), *[c.alias("x_g") for c in gs])
-    for _ in range(MOST_ROUNDS):
-        on = delta[cname(".to")] == hop["x_from"]
+
+    def after(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of a step of left and one of right."""
+        hop = right.select(f.alias("x_from"), t.alias("x_to"), *[c.alias("x_g") for c in gs])
+        on = left[cname(".to")] == hop["x_from"]
         if graph:
-            on = on & (delta[cname(graph[0])] == hop["x_g"])
-        found = delta.join(hop, on).select(delta[cname(".from")].alias(cname(".from")), hop["x_to"].alias(cname(".to")), *([delta[cname(graph[0])].alias(cname(graph[0]))] if graph else [])).distinct()
-        delta = written(found.join(known, keys, "left_anti").select(*[F.col(f"`{k}`") for k in keys]))
+            on = on & (left[cname(graph[0])] == hop["x_g"])
+        return left.join(hop, on).select(left[cname(".from")].alias(cname(".from")), hop["x_to"].alias(cname(".to")), *([left[cname(graph[0])].alias(cname(graph[0]))] if graph else [])).distinct()
+
+    for n in range(1, MOST_ROUNDS):
+        delta = written(after(delta, edges).join(known, keys, "left_anti").select(*[F.col(f"`{k}`") for k in keys]))
         if delta.isEmpty():
             return Rel(known, out)
-        known = known.union(delta)  # both are tables: nothing is computed again
+        known = known.union(delta)
+        if n % COMPACT == 0:
+            known = written(known)  # one table again: a plan of a few scans, whatever the round
+        if n == DOUBLE_AFTER and start is None:
+            return Rel(_doubled(known, edges, keys, after, n + 1), out)
+    raise RuntimeError("a path closure didn't end")
+
+
+def _doubled(known: DataFrame, edges: DataFrame, keys: list[str], after: Callable, length: int) -> DataFrame:
+    """A closure with both ends free that goes on for long: known holds all walks of up to `length`
+    steps. Walks of exactly `length` steps lead on from them, so each round doubles what is covered."""
+    exact, todo = None, length
+    power = edges
+    while todo:  # walks of exactly length steps, by squaring
+        if todo & 1:
+            exact = power if exact is None else written(after(exact, power))
+        todo >>= 1
+        if todo:
+            power = written(after(power, power))
+    for _ in range(MOST_ROUNDS):
+        found = written(after(known, exact).join(known, keys, "left_anti").select(*[F.col(f"`{k}`") for k in keys]))
+        if found.isEmpty():
+            return known
+        known = written(known.union(found))
+        exact = written(after(exact, exact))
     raise RuntimeError("a path closure didn't end")
 
 

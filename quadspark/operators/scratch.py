@@ -1,7 +1,9 @@
-"""Tables written to cut lineage, in the folder that all executors share."""
+"""Tables written to cut lineage, in the folder that all executors share. They are deleted when the
+driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,7 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quadspark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quadspark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quadspark-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit
+        pass
 
 
 def written(df: DataFrame) -> DataFrame:

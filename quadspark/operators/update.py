@@ -28,16 +28,28 @@ class Store:
         self.spark, self.union_default, self.read_only = spark, union_default, read_only
         given = spark.createDataFrame([], QUADS) if quads is None else quads.select("s", "p", "o", F.coalesce("g", F.lit("")).alias("g"))
         self.quads = given if quads is None or is_set else given.distinct()
-        self.graphs: set[str] = set(graphs or ())
+        self.graphs: set[str] = set(graphs or ())  # made, or emptied, by name
+        self.emptied: DataFrame | None = None  # names (g) of graphs that were emptied together
         self.pending = 0  # changes since the store was one table
 
     @property
     def source(self) -> QuadSource:
         return QuadSource(self.quads, self.union_default)
 
-    def named(self) -> set[str]:
-        """The graphs that exist: some were made, others have quads."""
-        return self.graphs | {r["g"] for r in self.quads.where("g <> ''").select("g").distinct().collect()}
+    def has(self, graph: str) -> bool:
+        """Whether a named graph exists: it was made, or has quads."""
+        return graph in self.graphs or not self.quads.where(F.col("g") == graph).isEmpty() or self.emptied is not None and not self.emptied.where(F.col("g") == graph).isEmpty()
+
+    def empty_all(self) -> None:
+        """Named graphs stay there without quads: their names are a table."""
+        names = self.quads.where("g <> ''").select("g")
+        self.emptied = written((names if self.emptied is None else names.unionByName(self.emptied)).distinct())
+
+    def forget(self, graph: str | None = None) -> None:
+        """A graph (None: all) doesn't exist any longer."""
+        self.graphs -= {graph} if graph is not None else set(self.graphs)
+        if self.emptied is not None:
+            self.emptied = self.emptied.where(F.col("g") != graph) if graph is not None else None
 
     def keep(self, cond: Column) -> None:
         """Quads that don't meet the condition go."""
@@ -93,16 +105,22 @@ def _run(store: Store, u: Update, context, load) -> None:  # noqa: ANN001
             target = "" if u.target == "DEFAULT" else u.target
             store.change(None, load(u.source).select("s", "p", "o", F.lit(target).alias("g")))
         case "clear" | "drop":
-            if u.target not in ("DEFAULT", "NAMED", "ALL") and u.target not in store.named() and not u.silent:
+            one = u.target not in ("DEFAULT", "NAMED", "ALL")
+            if one and not u.silent and not store.has(u.target):
                 raise KeyError(f"no graph {u.target}")
             cond = {"DEFAULT": F.col("g") != "", "NAMED": F.col("g") == "", "ALL": F.lit(False)}.get(u.target, F.col("g") != u.target)
             if u.kind == "clear":
-                store.graphs |= store.named()
+                if one:
+                    store.graphs.add(u.target)
+                elif u.target != "DEFAULT":
+                    store.empty_all()
+            elif one:
+                store.forget(u.target)
+            elif u.target != "DEFAULT":
+                store.forget()
             store.keep(cond)
-            if u.kind == "drop":
-                store.graphs -= {u.target} if u.target not in ("NAMED", "ALL") else set(store.graphs)
         case "create":
-            if u.target in store.named() and not u.silent:
+            if not u.silent and store.has(u.target):
                 raise KeyError(f"graph {u.target} exists")
             store.graphs.add(u.target)
         case "add" | "copy" | "move":
@@ -110,7 +128,7 @@ def _run(store: Store, u: Update, context, load) -> None:  # noqa: ANN001
                 return
             name = lambda t: "" if t == "DEFAULT" else t
             source, target = name(u.source), name(u.target)
-            if source and source not in store.named():
+            if source and not store.has(source):
                 raise KeyError(f"no graph {source}")
             moved = store.quads.where(F.col("g") == source).select("s", "p", "o", F.lit(target).alias("g"))
             if u.kind != "add":
@@ -118,10 +136,31 @@ def _run(store: Store, u: Update, context, load) -> None:  # noqa: ANN001
             store.change(None, moved)
             if u.kind == "move":
                 store.keep(F.col("g") != source)
-                store.graphs.discard(source)
+                store.forget(source)
         case _:
             raise ValueError(f"unknown update {u.kind}")
 
 
+def run_changes(spark: SparkSession, destination, sources: list, updates: Updates, context, load) -> None:  # noqa: ANN001
+    """Updates whose changes are sent elsewhere: patterns are matched in the sources."""
+    for u in updates.parts:
+        try:
+            match u.kind:
+                case "insert" | "delete":
+                    data = _ground(spark, u.insert or u.delete)
+                    destination.change(data if u.kind == "delete" else None, data if u.kind == "insert" else None)
+                case "modify":
+                    r = Lowering(spark, sources, context, default=u.using, named=u.using_named).lower(u.where)
+                    r.df = written(r.df) if r.vars else r.df
+                    destination.change(instantiate(r, u.delete, context) if u.delete else None, instantiate(r, u.insert, context) if u.insert else None)
+                case "load":
+                    destination.change(None, load(u.source).select("s", "p", "o", F.lit("" if u.target == "DEFAULT" else u.target).alias("g")))
+                case _:
+                    raise ValueError(f"{u.kind} can't be sent to {destination.kind} destinations")
+        except Exception:
+            if not u.silent:
+                raise
+
+
 def _ground(spark: SparkSession, template: tuple) -> DataFrame:
     return rows(spark, [(t.s, t.p.v, t.o, t.g.v if t.g is not None else "") for t in template])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from threading import Thread
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,10 @@ from quadspark.engine import Engine
 from quadspark.operators.scratch import shared_dir
 from quadspark.operators.update import Store
 from quadspark.plans.graphql import parse_graphql
+from quadspark.server import serve
 from quadspark.sources.quads import QuadSource
-from quadspark.sources.rdf_files import from_text, read_rdf
-from quadspark.sources.results import csv_lines, jsonld_text, nquads_lines, tsv_lines, turtle_text, write_nquads
+from quadspark.sources.rdf_files import from_text, read_column, read_rdf
+from quadspark.sources.results import csv_lines, jsonld_text, nquads_lines, sparql_json_text, sparql_xml_text, table_text, tree_text, tsv_lines, turtle_text, write_jsonld, write_nquads, write_turtle
 from quadspark.sources.virtual import TableSource
 from quadspark.terms import IRI, literal, n3_col, term_col
 
@@ -244,18 +248,22 @@ def sparql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: Engine.over_tables(spark, d).query(text)
 
 
-EDGE = "http://tpch/tree#parent"
+EDGE, CHAIN = "http://tpch/tree#parent", "http://tpch/tree#next"
+#: Nodes of a chain.
+CHAIN_NODES = 300
 
 
-def tree(spark: SparkSession, d: str) -> DataFrame:
-    """Quads: each customer's parent is the one with half its number."""
+def tree(spark: SparkSession, d: str, chain: bool = False) -> DataFrame:
+    """Quads: each customer's parent is the one with half its number; or a chain of nodes."""
     node = lambda c: term_col(IRI, F.concat(F.lit("http://tpch/customer/"), c.cast("string")))
     k = F.col("c_custkey")
-    return spark.read.parquet(f"{d}/customer.parquet").where(k > 1).select(node(k).alias("s"), F.lit(EDGE).alias("p"), node(F.shiftright(k, 1)).alias("o"), F.lit("").alias("g"))
+    found = spark.read.parquet(f"{d}/customer.parquet").where(k > 1).select(node(k).alias("s"), F.lit(EDGE).alias("p"), node(F.shiftright(k, 1)).alias("o"), F.lit("").alias("g"))
+    i = F.col("id")
+    return found if not chain else spark.range(1, CHAIN_NODES).select(node(i).alias("s"), F.lit(CHAIN).alias("p"), node(i + 1).alias("o"), F.lit("").alias("g"))
 
 
 def over_tree(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: Engine(spark, QuadSource(tree(spark, d))).query(text)
+    return lambda spark, d: Engine(spark, QuadSource(tree(spark, d, CHAIN in text))).query(text)
 
 
 _TREE_SQL = "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 1), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) "
@@ -263,6 +271,7 @@ _IRI = "'http://tpch/customer/' || "
 PATHS = {
     "path_plus": (f"SELECT ?a ?b WHERE {{ ?a <{EDGE}>+ ?b }}", f"{_TREE_SQL} SELECT {_IRI}a AS a, {_IRI}b AS b FROM c"),
     "path_star": (f"SELECT ?a ?b WHERE {{ ?a <{EDGE}>* ?b }}", f"{_TREE_SQL} SELECT {_IRI}a AS a, {_IRI}b AS b FROM (SELECT a, b FROM c UNION SELECT n, n FROM (SELECT a AS n FROM e UNION SELECT b FROM e))"),
+    "path_plus_long": (f"SELECT ?b WHERE {{ ?a <{CHAIN}>+ ?b }}", f"SELECT {_IRI}CAST(b AS VARCHAR) AS b FROM range(1, 300) t(a), range(2, 301) u(b) WHERE b > a"),
     "path_opt": (f"SELECT ?a ?b WHERE {{ ?a <{EDGE}>? ?b }}", f"{_TREE_SQL} SELECT {_IRI}a AS a, {_IRI}b AS b FROM (SELECT a, b FROM e UNION SELECT n, n FROM (SELECT a AS n FROM e UNION SELECT b FROM e))"),
     "path_from_constant": (f"SELECT ?b WHERE {{ <http://tpch/customer/100> <{EDGE}>+ ?b }}", f"{_TREE_SQL} SELECT {_IRI}b AS b FROM c WHERE a = 100"),
     "path_to_constant": (f"SELECT ?a WHERE {{ ?a <{EDGE}>* <http://tpch/customer/5> }}", f"{_TREE_SQL} SELECT {_IRI}a AS a FROM (SELECT a FROM c WHERE b = 5 UNION SELECT 5)"),
@@ -363,6 +372,115 @@ def jsonld_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return e.query("SELECT ?x ?name WHERE { ?x r:r_name ?name }")
 
 
+def turtle_write(spark: SparkSession, d: str) -> DataFrame:
+    """Written as TriG by many tasks, read again, queried."""
+    path = shared_dir(spark)
+    tables = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+    write_turtle(tables.quads(["customer"]), path, {"c": "http://tpch/customer#"}, 2000)
+    e = Engine(spark, read_rdf(spark, path, "application/trig"), prefixes={"c": "http://tpch/customer#"})
+    return e.query("SELECT ?k ?n ?s WHERE { GRAPH <http://tpch/graph/customer> { ?x c:c_custkey ?k ; c:c_name ?n ; c:c_mktsegment ?s } }")
+
+
+def jsonld_write(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_jsonld(TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet")).quads(["customer"], named=False), path, 2000)
+    e = Engine(spark, read_rdf(spark, path, "application/ld+json"), prefixes={"c": "http://tpch/customer#"})
+    return e.query("SELECT ?k ?n WHERE { ?x c:c_custkey ?k ; c:c_name ?n ; c:nationRef <http://tpch/nation/3> }")
+
+
+def documents_of(kind: str, write: Callable[[list], str], of: str = "nation") -> Callable[[SparkSession, str], DataFrame]:
+    """A document for each region, about its nations, read by one format's parser."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = spark.read.parquet(f"{d}/nation.parquet")
+        rows = t.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+        found = [write([(n["n_nationkey"], n["n_name"], r["n_regionkey"]) for n in r["n"]]) for r in rows.collect()]
+        df = spark.createDataFrame([(x, "http://doc/") for x in found], "text string, base string")
+        e = Engine(spark, read_column(df, "text", kind, "base"), prefixes={"x": "http://x/"})
+        return e.query("SELECT ?n ?name ?r WHERE { ?n x:name ?name ; x:region ?r }")
+
+    return run
+
+
+def _rdfxml(ns: list) -> str:
+    return f'<r:RDF xmlns:r="{_RDF}" xmlns:x="http://x/">' + "".join(f'<r:Description r:about="http://n/{k}"><x:name>{n}</x:name><x:region r:resource="http://r/{g}"/></r:Description>' for k, n, g in ns) + "</r:RDF>"
+
+
+def _rdfa(ns: list) -> str:
+    return "<html><body prefix='x: http://x/'>" + "".join(f'<p about="http://n/{k}"><b property="x:name">{n}</b><a rel="x:region" href="http://r/{g}">r</a></p>' for k, n, g in ns) + "</body></html>"
+
+
+def _microdata(ns: list) -> str:
+    return "<html><body>" + "".join(f'<div itemscope itemid="http://n/{k}"><i itemprop="http://x/name">{n}</i><a itemprop="http://x/region" href="http://r/{g}">r</a></div>' for k, n, g in ns) + "</body></html>"
+
+
+def _script(ns: list) -> str:
+    return "<html><head><script type='text/turtle'>" + " ".join(f'<http://n/{k}> <http://x/name> "{n}" ; <http://x/region> <http://r/{g}> .' for k, n, g in ns) + "</script></head></html>"
+
+
+_DOCUMENTS_SQL = "SELECT 'http://n/' || n_nationkey AS n, n_name AS name, 'http://r/' || n_regionkey AS r FROM nation"
+
+
+def composite_file(spark: SparkSession, d: str) -> DataFrame:
+    """Several files of unlike formats as one source."""
+    a, b = shared_dir(spark), shared_dir(spark)
+    tables = TableSource(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+    write_nquads(tables.quads(["region"], named=False), f"{a}.nq")
+    write_turtle(tables.quads(["nation"], named=False), f"{b}.ttl")
+    e = Engine(spark, read_rdf(spark, [f"{a}.nq", f"{b}.ttl"]), prefixes={"n": "http://tpch/nation#", "r": "http://tpch/region#"})
+    return e.query("SELECT ?a ?b WHERE { ?x n:n_name ?a ; n:regionRef ?y . ?y r:r_name ?b }")
+
+
+def parsed_result(write: Callable[[DataFrame], str], read: Callable[[str], list]) -> Callable[[SparkSession, str], DataFrame]:
+    """Regions in a result format, taken apart again."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = Engine.over_tables(spark, d).bindings("SELECT ?x ?n WHERE { ?x region:r_name ?n }")
+        return spark.createDataFrame(read(write(found)), "x string, n string")
+
+    return run
+
+
+def _of_json(text: str) -> list:
+    return [(b["x"]["value"], b["n"]["value"]) for b in json.loads(text)["results"]["bindings"]]
+
+
+def _of_xml(text: str) -> list:
+    ns = "{http://www.w3.org/2005/sparql-results#}"
+    return [tuple(b[0].text for b in r) for r in ElementTree.fromstring(text.encode()).iter(f"{ns}result")]
+
+
+def _of_table(text: str) -> list:
+    return [(x[:24].strip(), x[25:].strip()) for x in text.splitlines()[2:]]
+
+
+def _of_tree(text: str) -> list:
+    return [(x["x"][0], x["n"][0]) for x in json.loads(text)]
+
+
+def _served(spark: SparkSession, d: str, use: Callable[[str], DataFrame], **options) -> DataFrame:  # noqa: ANN003
+    """A result got from an endpoint over the tables, which is there only while it is asked."""
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = serve(Engine.over_tables(spark, d, **options), 0, host)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        return use(f"http://{host}:{server.server_address[1]}/sparql")
+    finally:
+        server.shutdown()
+
+
+def service_http(spark: SparkSession, d: str) -> DataFrame:
+    """SERVICE with an address: one request with the whole group."""
+    text = "SELECT ?name ?s WHERE { ?n nation:n_name ?name SERVICE <%s> { ?x supplier:nationRef ?n ; supplier:s_name ?s ; supplier:s_acctbal ?b FILTER(?b > 1000) } }"
+    return _served(spark, d, lambda url: Engine.over_tables(spark, d).query(text % url))
+
+
+def endpoint_source(spark: SparkSession, d: str) -> DataFrame:
+    """An endpoint as the source: stars are queries there, and solutions found go with the next one."""
+    prefixes = Engine.over_tables(spark, d).prefixes
+    return _served(spark, d, lambda url: Engine(spark, url, prefixes=prefixes).query("SELECT ?name ?r WHERE { ?n nation:n_name ?name ; nation:regionRef ?g . ?g region:r_name ?r }"))
+
+
 def csv_result(spark: SparkSession, d: str) -> DataFrame:
     return csv_lines(Engine.over_tables(spark, d).bindings("SELECT ?x ?n WHERE { ?x supplier:s_name ?n }"))
 
@@ -410,6 +528,7 @@ def serialized(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+_REGIONS_SQL = "SELECT 'http://tpch/region/' || r_regionkey AS x, r_name AS n FROM region"
 _INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ask": (ask, "SELECT count(*) > 0 AS answer FROM nation WHERE n_name = 'NATION_3'"),
@@ -449,6 +568,19 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "service_silent": (service_silent, "SELECT r_name AS n FROM region"),
     "full_term_comparison": (full_term_comparison, "SELECT r_name AS n FROM region WHERE r_regionkey > 2"),
     "serialized": (serialized, SPARQL["optional_expr"][1]),
+    "turtle_write": (turtle_write, "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS n, c_mktsegment AS s FROM customer"),
+    "jsonld_write": (jsonld_write, "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS n FROM customer WHERE c_nationkey = 3"),
+    "rdfxml_documents": (documents_of("application/rdf+xml", _rdfxml), _DOCUMENTS_SQL),
+    "rdfa_documents": (documents_of("text/html", _rdfa), _DOCUMENTS_SQL),
+    "microdata_documents": (documents_of("text/html", _microdata), _DOCUMENTS_SQL),
+    "html_scripts": (documents_of("text/html", _script), _DOCUMENTS_SQL),
+    "composite_file": (composite_file, "SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "sparql_json_result": (parsed_result(sparql_json_text, _of_json), _REGIONS_SQL),
+    "sparql_xml_result": (parsed_result(sparql_xml_text, _of_xml), _REGIONS_SQL),
+    "table_result": (parsed_result(table_text, _of_table), _REGIONS_SQL),
+    "tree_result": (parsed_result(tree_text, _of_tree), _REGIONS_SQL),
+    "service_http": (service_http, "SELECT n_name AS name, s_name AS s FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 1000"),
+    "endpoint_source": (endpoint_source, "SELECT n_name AS name, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "service": (service, f"SELECT c_name AS name, {_IRI}(c_custkey // 2) AS p FROM customer WHERE c_custkey > 1"),
 }
 

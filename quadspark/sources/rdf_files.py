@@ -17,13 +17,17 @@ from quadspark.sources.quads import QUADS, rows
 from quadspark.sources.rdf_text import EXTENSIONS, parse
 from quadspark.terms import BNODE, term_col
 
-_TERM = r'<[^>]*>|_:[^\s<"]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?|<<\(.*\)>>'
+_TERM = r'<[^>]*>|_:[^\s<"]+|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?|<<\(.*\)>>'
 _LINE = rf"^\s*({_TERM})\s+<([^>]*)>\s+({_TERM})\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples or N-Quads. Lines that are no quads are left out; read_bad_lines shows them."""
+def read_lines(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """N-Triples or N-Quads. A line that is no quad, comment or blank is an error; lenient: it is
+    left out, and read_bad_lines shows it."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    if not lenient:
+        bad = F.raise_error(F.concat(F.lit("no quad: "), F.substring("value", 1, 200), F.lit(" in "), F.col("file"))).cast("boolean")
+        lines = lines.where(F.when(F.col("value").rlike(_LINE), True).when(F.col("value").rlike(r"^\s*(#.*)?$"), False).otherwise(bad))
     part = lambda i: F.regexp_extract("value", _LINE, i)
 
     def scoped(t):  # noqa: ANN001, ANN202
@@ -52,7 +56,7 @@ def read_rdf(spark: SparkSession, path: str | list[str], media_type: str | None
         return read_rdf(spark, path, media_type, base, lenient).withColumn("source", F.lit(path))
     kind = media_type or EXTENSIONS.get(path.rsplit(".", 1)[-1].lower())
     if kind in ("application/n-triples", "application/n-quads"):
-        return read_lines(spark, path)
+        return read_lines(spark, path, lenient)
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,7 @@
 """Writers of results: SPARQL JSON, XML, CSV and TSV, plain JSON, tables and trees of solutions;
 N-Triples, N-Quads, Turtle, TriG and JSON-LD of quads.
 
-Line formats are written by Spark (write_*). The *_text functions give a whole document as one
+Lines, Turtle and JSON-LD are written by Spark, a document for each task (write_*). The *_text functions give a whole document as one
 string, for results that a driver can hold.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape as xml_escape
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +172,124 @@ def write_tsv(df: DataFrame, path: str) -> None:
     tsv_lines(df).write.text(path)
 
 
+def _short(prefixes: dict[str, str] | None):
+    """IRIs in N-Triples form to prefixed names, where one fits."""
+    known = sorted((prefixes or {}).items(), key=lambda x: -len(x[1]))
+
+    def name(n3: str) -> str:
+        if n3.startswith("<") and not n3.startswith("<<"):
+            for p, u in known:
+                rest = n3[1:-1].removeprefix(u)
+                if n3[1:-1].startswith(u) and rest.replace("_", "a").replace("-", "a").isalnum():
+                    return f"{p}:{rest}"
+        return n3
+
+    return name
+
+
+def _sorted_quads(quads: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Quads of one graph and subject one after the other. Ranges of them are the tasks: a subject
+    of very many quads may be in several, and no task holds one whole."""
+    key = [F.coalesce("g", F.lit("")).alias("g"), n3_col(F.col("s")).alias("s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")).alias("p"), n3_col(F.col("o")).alias("o"), F.struct("s", "o").alias("t")]
+    rows = quads.select(*key)
+    ranged = rows.repartitionByRange("g", "s", "p", "o") if rows_per_task is None else rows.repartitionByRange(max(1, rows.count() // rows_per_task), "g", "s", "p", "o")
+    return ranged.sortWithinPartitions("g", "s", "p", "o")
+
+
+def turtle_lines(quads: DataFrame, prefixes: dict[str, str] | None = None, rows_per_task: int | None = None) -> DataFrame:
+    """(value): lines of Turtle, or of TriG where there are named graphs; the lines of each
+    partition are a document by themselves."""
+    name = _short(prefixes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = subject = None
+        lines = [f"@prefix {p}: <{u}> ." for p, u in sorted((prefixes or {}).items())]
+        for b in batches:
+            for g, s, p, o in zip(b["g"], b["s"], b["p"], b["o"], strict=True):
+                if (g, s) != (graph, subject):
+                    if subject is not None:
+                        lines.append("  .")
+                    if g != graph:
+                        if graph:
+                            lines.append("}")
+                        if g:
+                            lines.append(f"<{g}> {{")
+                    lines.append(f"{name(s)} {name(p)} {name(o)}")
+                    graph, subject = g, s
+                else:
+                    lines.append(f"  ; {name(p)} {name(o)}")
+            yield pd.DataFrame({"value": lines})
+            lines = []
+        if subject is not None:
+            yield pd.DataFrame({"value": ["  .", *(["}"] if graph else [])]})
+
+    return _sorted_quads(quads, rows_per_task).select("g", "s", "p", "o").mapInPandas(run, "value string")
+
+
+def write_turtle(quads: DataFrame, path: str, prefixes: dict[str, str] | None = None, rows_per_task: int | None = None) -> None:
+    """A folder of documents, written by many tasks."""
+    turtle_lines(quads, prefixes, rows_per_task).write.text(path)
+
+
+#: Values of one node object; a subject with more has several objects with one @id, which is the same.
+NODE_VALUES = 1000
+
+
+def jsonld_lines(quads: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """(value): lines of JSON-LD; those of each partition are a document by themselves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, node, size, first = None, {}, 0, True
+
+        def close() -> str:
+            nonlocal first
+            whole = {"@id": key[0], "@graph": [node]} if key[0] else node
+            text = ("" if first else ",") + json.dumps(whole, ensure_ascii=False)
+            first = False
+            return text
+
+        opened = False
+        for b in batches:
+            lines = [] if opened else ["["]
+            opened = True
+            for g, p, t in zip(b["g"], b["p"], b["t"], strict=True):
+                s, o = term_of(t["s"]), term_of(t["o"])
+                if (g, s) != key or size >= NODE_VALUES:
+                    if key is not None:
+                        lines.append(close())
+                    key, node, size = (g, s), {"@id": _ident(s)}, 0
+                size += 1
+                if p == f"<{RDF}type>":
+                    node.setdefault("@type", []).append(_ident(o))
+                else:
+                    node.setdefault(p[1:-1], []).append(_json_value(o))
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": [*([close()] if key is not None else [] if opened else ["["]), "]"]})
+
+    return _sorted_quads(quads, rows_per_task).select("g", "p", "t").mapInPandas(run, "value string")
+
+
+def write_jsonld(quads: DataFrame, path: str, rows_per_task: int | None = None) -> None:
+    """A folder of documents, written by many tasks."""
+    jsonld_lines(quads, rows_per_task).write.text(path)
+
+
+def _ident(t: Term) -> str:
+    return f"_:{t.v}" if t.k == BNODE else t.v
+
+
+def _json_value(t: Term) -> dict:
+    if t.k in (IRI, BNODE):
+        return {"@id": _ident(t)}
+    if t.lang:
+        return {"@value": t.v, "@language": t.lang} | ({"@direction": t.dir} if t.dir else {})
+    if t.dt in (None, STRING):
+        return {"@value": t.v}
+    if t.dt == BOOLEAN and t.v in ("true", "false"):
+        return {"@value": t.v == "true"}
+    return {"@value": t.v, "@type": t.dt}
+
+
 def ntriples_text(quads: DataFrame) -> str:
     return "".join(r["value"] + "\n" for r in nquads_lines(quads.withColumn("g", F.lit(""))).toLocalIterator())
 
@@ -181,18 +300,8 @@ def nquads_text(quads: DataFrame) -> str:
 
 def turtle_text(quads: DataFrame, prefixes: dict[str, str] | None = None, trig: bool = True) -> str:
     """Subjects with their predicates and objects; named graphs in braces."""
-    short = sorted((prefixes or {}).items(), key=lambda x: -len(x[1]))
-
-    def name(n3: str) -> str:
-        if n3.startswith("<") and not n3.startswith("<<"):
-            if n3 == f"<{RDF}type>":
-                return "a"
-            for p, u in short:
-                rest = n3[1:-1].removeprefix(u)
-                if n3[1:-1].startswith(u) and rest.replace("_", "a").replace("-", "a").isalnum():
-                    return f"{p}:{rest}"
-        return n3
-
+    short = _short(prefixes)
+    name = lambda n3: "a" if n3 == f"<{RDF}type>" else short(n3)
     graphs: dict[str, dict[str, dict[str, list[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
     for r in quads.toLocalIterator():
         graphs[r["g"] or ""][term_of(r["s"]).n3()][f"<{r['p']}>"].append(term_of(r["o"]).n3())
@@ -211,26 +320,13 @@ def turtle_text(quads: DataFrame, prefixes: dict[str, str] | None = None, trig:
 
 def jsonld_text(quads: DataFrame) -> str:
     graphs: dict[str, dict[str, dict]] = defaultdict(dict)
-    ident = lambda t: f"_:{t.v}" if t.k == BNODE else t.v
-
-    def value(t: Term) -> dict:
-        if t.k in (IRI, BNODE):
-            return {"@id": ident(t)}
-        if t.lang:
-            return {"@value": t.v, "@language": t.lang} | ({"@direction": t.dir} if t.dir else {})
-        if t.dt in (None, STRING):
-            return {"@value": t.v}
-        if t.dt == BOOLEAN and t.v in ("true", "false"):
-            return {"@value": t.v == "true"}
-        return {"@value": t.v, "@type": t.dt}
-
     for r in quads.toLocalIterator():
         s, o = term_of(r["s"]), term_of(r["o"])
-        node = graphs[r["g"] or ""].setdefault(ident(s), {"@id": ident(s)})
+        node = graphs[r["g"] or ""].setdefault(_ident(s), {"@id": _ident(s)})
         if r["p"] == RDF + "type":
-            node.setdefault("@type", []).append(ident(o))
+            node.setdefault("@type", []).append(_ident(o))
         else:
-            node.setdefault(r["p"], []).append(value(o))
+            node.setdefault(r["p"], []).append(_json_value(o))
     out = list(graphs.pop("", {}).values())
     out += [{"@id": g, "@graph": list(nodes.values())} for g, nodes in graphs.items()]
     return json.dumps(out, ensure_ascii=False)
