@@ -241,7 +241,7 @@ class Lowering:
         r = self.with_exists(r, e)
         x = compile_expr(e, r.scope(), self.c)
         names = [v for v in r.vars if not v.startswith("!")]
-        df = r.df.select(*[r.col(v) for v in names], x.col.alias(cname(var)))
+        df = r.df.select(*[r.col(v) for v in names], computed(x, e).alias(cname(var)))
         return Rel(df, {v: r.vars[v] for v in names} | {var: x.enc}, (r.nullable & set(names)) | ({var} if x.const is None else set()))
 
     def filter(self, p: Filter) -> Rel:
@@ -339,7 +339,7 @@ class Lowering:
                     raise ValueError(f"?{plan.var} is bound already")
                 names, r = list(r.vars), self.with_exists(r, plan.expr)
                 x = compile_expr(plan.expr, r.scope(), self.c)
-                df = r.df.select(*[r.col(v) for v in names], x.col.alias(cname(plan.var)))
+                df = r.df.select(*[r.col(v) for v in names], computed(x, plan.expr).alias(cname(plan.var)))
                 return Rel(df, {v: r.vars[v] for v in names} | {plan.var: x.enc}, (r.nullable & set(names)) | {plan.var})
             case Join():
                 return join(self.seeded(plan.left, seed, row), self.seeded(plan.right, seed, row))
@@ -515,6 +515,12 @@ def conjuncts(e: object) -> list:
     return [e]
 
 
+def computed(x: Val, e: object) -> Column:
+    """A column that holds an expression's value. One of any type is made by a generator, so that
+    the optimizer doesn't write it out again at each place where it is used."""
+    return F.explode(F.array(x.col)) if x.t == "term" and x.const is None and isinstance(e, Call) else x.col
+
+
 def exists_in(e: object) -> list[Exists]:
     if isinstance(e, Exists):
         return [e]
