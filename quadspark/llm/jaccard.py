@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, row_key, small_side, written
+from quadspark.llm.common import bounded_batches, discard, row_key, small_side, written
 from quadspark.llm.simhash import DISTANCE, SEED, components, gram_hashes, links, majority
 
 WORDS = 5
@@ -203,7 +203,10 @@ def _links(rows: DataFrame, sets: DataFrame, star: int, more: DataFrame | None =
     texts = rows.join(small_side(wanted), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("text")
     whole = written(texts.mapInArrow(_whole, "node long, hashes binary"))
     left, right = whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), whole.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"))
+    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"))
+    for used in (whole, wanted, pairs):
+        discard(used)
+    return out
 
 
 def _rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -221,8 +224,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = spark.sparkContext.broadcast(frequent(rows))
     prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary, fp long"))
     sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "fp", "_r1", "_r2", F.col("node").alias("root")))
+    narrow = written(prints.select("doc_id", "_r1", "_r2", "node"))
+    discard(prints)
     found = _links(rows, sets, 1, proposed(sets))
     for star in (2, 0):
-        found = written(found.unionByName(_links(rows, written(_rooted(sets, found)), star)))
-    roots = _rooted(sets.select("node", "root"), found)
-    return prints.select("doc_id", "_r1", "_r2", "node").join(small_side(written(roots)), "node").select("doc_id", "_r1", "_r2", "root")
+        found = written(found.unionByName(_links(rows, _rooted(sets, found), star)))
+    roots = written(_rooted(sets.select("node", "root"), found))
+    discard(sets)
+    return narrow.join(small_side(roots), "node").select("doc_id", "_r1", "_r2", "root")
