@@ -40,6 +40,11 @@ class Store:
         """Whether a named graph exists: it was made, or has quads."""
         return graph in self.graphs or not self.quads.where(F.col("g") == graph).isEmpty() or self.emptied is not None and not self.emptied.where(F.col("g") == graph).isEmpty()
 
+    def named(self) -> set[str]:
+        """The names of all graphs that exist, for a caller whose store has few. Updates don't use it."""
+        names = self.quads.where("g <> ''").select("g")
+        return self.graphs | {r["g"] for r in (names if self.emptied is None else names.unionByName(self.emptied)).distinct().collect()}
+
     def empty_all(self) -> None:
         """Named graphs stay there without quads: their names are a table."""
         names = self.quads.where("g <> ''").select("g")
