@@ -421,14 +421,19 @@ class Lowering:
         aggs, finish, encs = [], {}, {}
         for name, a in p.aggregates:
             r = self.with_exists(r, a.arg)
-            col, enc = self.aggregate(r, a, f"a_{len(encs)}", aggs)
+            made = None
+            if isinstance(a.arg, Call) and (x := compile_expr(a.arg, r.scope(), self.c)).t == "term" and x.const is None:
+                made = f"!arg{len(encs)}"  # computed once a row, below the aggregation
+                df = r.df.select(*[r.col(v) for v in r.vars], computed(x, a.arg).alias(cname(made)))
+                r = Rel(df, r.vars | {made: Enc("term")}, r.nullable | {made})
+            col, enc = self.aggregate(r, a, f"a_{len(encs)}", aggs, made)
             finish[name], encs[name] = col, enc
         keys = [v for v in p.keys if v in r.vars]
         df = r.df.groupBy(*[r.col(v) for v in keys]).agg(*aggs) if keys else r.df.agg(*aggs)
         df = df.select(*[quoted(cname(v)) for v in keys], *[c.alias(cname(n)) for n, c in finish.items()])
         return Rel(df, {v: r.vars[v] for v in keys} | encs, (r.nullable & set(keys)) | set(encs)).filled([*p.keys, *encs])
 
-    def aggregate(self, r: Rel, a: Aggregate, tag: str, aggs: list[Column]) -> tuple[Column, Enc]:
+    def aggregate(self, r: Rel, a: Aggregate, tag: str, aggs: list[Column], made: str | None = None) -> tuple[Column, Enc]:
         """Adds what is needed to aggs; returns the column made from it afterwards. An error of the
         expression (not an unbound variable) makes the result unbound, but for COUNT."""
 
@@ -442,7 +447,7 @@ class Lowering:
                 return add(F.count(F.lit(1))), Enc("lit", None, INTEGER)
             every = F.struct(*[r.col(v).alias(f"c{i}") for i, v in enumerate(sorted(visible(r)))]) if visible(r) else F.lit(1)
             return add(F.count_distinct(every)), Enc("lit", None, INTEGER)
-        x = compile_expr(a.arg, r.scope(), self.c)
+        x = compile_expr(a.arg, r.scope(), self.c) if made is None else Val(r.col(made), "term")
         if a.name == "COUNT":
             return add(F.count_distinct(x.col) if a.distinct else F.count(x.col)), Enc("lit", None, INTEGER)
         poison = None
