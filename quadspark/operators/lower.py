@@ -398,10 +398,10 @@ class Lowering:
                 return sources[0].whole(p.input)
             r = Lowering(self.spark, sources, self.c, self.services, at=self.at).lower(p.input)
             return Rel(written(r.df), dict(r.vars), set(r.nullable)) if p.silent and r.vars else r  # what fails when it runs fails here
-        except Exception:
+        except Exception as e:
             if p.silent:
                 return self.unit()
-            raise
+            raise ValueError(f"service {p.name}: {str(e)[:500]}") from e
 
     def order(self, p: OrderBy) -> Rel:
         r = self.lower(p.input)

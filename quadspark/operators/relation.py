@@ -51,7 +51,9 @@ class Rel:
 
 
 def table_bytes(df: DataFrame) -> float:
-    """Spark's estimate of a plan's size, which takes no job; of an unknown size 1 TB."""
+    """Spark's estimate of a plan's size, which takes no job; of an unknown size, or a stream, 1 TB."""
+    if df.isStreaming:
+        return 1e12
     return min(1e12, float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
