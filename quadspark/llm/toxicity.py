@@ -227,6 +227,7 @@ class Reader:
         self.model = model
         self.memory: dict[str, frozenset[str] | tuple[str]] = {}  # of tokens
         self.spans: dict[str, frozenset[str]] = {}
+        self.runs: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
 
     def token(self, token: str) -> frozenset[str] | tuple[str]:
         """Words of a lower-cased token without white space."""
@@ -264,24 +265,32 @@ class Reader:
             found = self.spans[key] = frozenset(LETTERS.findall(decode(key, self.model))) if LETTERS.search(key) else frozenset()
         return found
 
-    def spread(self, lower: str) -> set[str]:
-        """Restored words of spans whose letters are spread out."""
-        return set().union(*(self.span(m[0]) for m in SPREAD_OUT.finditer(lower)))
-
-    def grouped(self, lower: str) -> set[str]:
-        """Restored words of runs of short groups that aren't words of the text as it is. A run of
-        frequent short words of two letters or more is just that."""
-        short, out = self.model.short, set()
-        for m in GROUPS.finditer(lower):
-            key = GAP.sub(" ", m[0])
-            if key not in self.spans and all(len(g) > 1 and g in short for g in key.split()):
-                continue
-            out |= self.span(key)
-        return out.difference(LETTERS.findall(lower)) if out else out
+    def run(self, run: str) -> tuple[frozenset[str], frozenset[str]]:
+        """Restored words of what is spread out in a run of short groups, and of the run as a whole.
+        A run of frequent short words of two letters or more is just that."""
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) >= MEMORY:
+                self.runs.clear()
+            groups = GAP.sub(" ", run)
+            plain = all(len(g) > 1 and g in self.model.short for g in groups.split())
+            spread = frozenset().union(*(self.span(m[0]) for m in SPREAD_OUT.finditer(run)))
+            found = self.runs[run] = spread, frozenset() if plain else self.span(groups)
+        return found
+
+    def apart(self, lower: str) -> set[str]:
+        """Restored words of runs of short groups: those of letters that are spread out, and others
+        that aren't words of the text as it is. What SPREAD_OUT finds lies in what GROUPS finds."""
+        spread, whole = set(), set()
+        for run in set(GROUPS.findall(lower)):
+            x, y = self.run(run)
+            spread |= x
+            whole |= y
+        return spread | whole.difference(LETTERS.findall(lower)) if whole else spread
 
     def all_words(self, text: str) -> set[str]:
         lower = text.lower()
-        return set().union(self.spread(lower), self.grouped(lower), *map(self.words, set(lower.split())))
+        return set().union(self.apart(lower), *map(self.words, set(lower.split())))
 
     def restore(self, text: str) -> str:
         """The text, lower-cased, with suspicious spans replaced by their likeliest reading."""
@@ -319,27 +328,34 @@ def weight(a: float, b: float, pos: float, neg: float) -> float:
 
 class Scorer:
     def __init__(self, model: Model, lexicon: dict[str, float], slope: float, bias: float) -> None:
-        self.reader, self.lexicon, self.slope, self.bias, self.memory = Reader(model), lexicon, slope, bias, {}
-
-    def best(self, words: frozenset[str] | set[str]) -> float:
-        get, best = self.lexicon.get, 0.0
-        for w in words:  # over marks(words)
-            best = max(best, get(w, 0.0), *(get(f"{k}^{w[:k]}", 0.0) for k in BEGINNINGS if len(w) > k))
+        self.reader, self.lexicon, self.slope, self.bias = Reader(model), lexicon, slope, bias
+        self.starts = [(k, {m[len(f"{k}^") :]: w for m, w in lexicon.items() if m.startswith(f"{k}^")}) for k in BEGINNINGS]
+        self.known: set[str] = set()  # tokens, of which some have weights
+        self.weights: dict[str, float] = {}
+
+    def best(self, words: frozenset[str] | set[str] | tuple[str]) -> float:
+        """Over marks(words)."""
+        best = 0.0
+        for w in words:
+            best = max(best, self.lexicon.get(w, 0.0))
+            for k, starts in self.starts:
+                if len(w) > k and w[:k] in starts:
+                    best = max(best, starts[w[:k]])
         return best
 
     def evidence(self, text: str | None) -> float:
         """The sum of the weights of the strongest different tokens."""
         lower = (text or "").lower()
-        memory, found = self.memory, []
-        for token in set(lower.split()):
-            w = memory.get(token)
-            if w is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                w = memory[token] = self.best(self.reader.token(token))
-            if w:
-                found.append(w)
-        found += [w for w in (self.best({x}) for x in self.reader.spread(lower) | self.reader.grouped(lower)) if w]
+        if len(self.known) >= MEMORY:
+            self.known, self.weights = set(), {}
+        tokens = set(lower.split())
+        new = tokens - self.known
+        self.known |= new
+        for token in new:
+            if w := self.best(self.reader.token(token)):
+                self.weights[token] = w
+        found = [self.weights[t] for t in tokens.intersection(self.weights)] if len(self.weights) < len(tokens) else [self.weights[t] for t in tokens if t in self.weights]
+        found += [w for w in (self.best((x,)) for x in self.reader.apart(lower)) if w]
         return sum(nlargest(STRONGEST, found))
 
     def __call__(self, text: str | None) -> float:
