@@ -7,7 +7,9 @@ can search at once, so that a second search finds the rest.
 
 That is prefix filtering: with shingles in one global order, two such sets share one of the first
 n - ceil(0.8 n) + 1 of each. Sets meet in the buckets of these; pairs that can't be similar if
-what they meet by is the first they share are dropped there, and the rest compared whole.
+what they meet by is the first they share are dropped there. The others' bitmaps, of which each
+shingle turns one bit over, differ in no more bits than the sets in shingles: most pairs go by that
+without a look at their texts, and the rest are compared whole.
 Shingles that are frequent in a sample come last in the order, so that few of them are in a
 prefix; the sample changes what is compared, not what is found.
 
@@ -32,6 +34,8 @@ WORDS = 5
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 3, 100_000
 #: Shingles of a set, besides the frequent ones, that the first rounds look at.
 FIRST = 2
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Pairs handed on at once.
 PIECE = 1 << 16
 
@@ -55,6 +59,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each of BITS places."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
@@ -77,14 +86,14 @@ def _prefixes(often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = often.value
         for b in batches:
-            node, size, keys, fp = [], [], [], []
+            node, size, keys, fp, bits = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 hashes = gram_hashes(t, WORDS)
                 s = _set(hashes)
-                node.append(_node(s)), size.append(len(s)), fp.append(majority(hashes))
+                node.append(_node(s)), size.append(len(s)), fp.append(majority(hashes)), bits.append(bitmap(s))
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 keys.append(np.concatenate([s[~late], s[late] | np.uint64(1 << 63)])[: prefix(len(s))].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "_r1", "_r2", "node", "n", "keys", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "_r1", "_r2", "node", "n", "keys", "fp", "bits"])
 
     return run
 
@@ -169,6 +178,16 @@ def _meet(star: int):
     return run
 
 
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps (x, y) don't differ in more bits than similar sets of m and n shingles can
+    in shingles: a ninth of m + n."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
+            m, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("m", "n"))
+            yield b.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n))
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t) for t in b.column("text").to_pylist()]
@@ -193,18 +212,21 @@ def proposed(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _links(rows: DataFrame, sets: DataFrame, star: int, more: DataFrame | None = None) -> DataFrame:
-    """(a, b): similar pairs among sets (node, n, keys, root, _r1, _r2) of different roots, and of
-    those in more."""
+    """(a, b): similar pairs among sets (node, n, keys, bits, root, _r1, _r2) of different roots, and
+    of those in more."""
     spread = sets.select("node", "n", "root", "keys").mapInArrow(_spread(star > 0), "key long, node long, n long, root long, at long")
     pairs = spread.repartition(F.col("key")).sortWithinPartitions("key", "n", "node").mapInArrow(_meet(star), "a long, b long")
-    pairs = written((pairs.unionByName(more) if more is not None else pairs).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(sets.join(nodes, "node", "left_semi").select("_r1", "_r2"))
+    met = written((pairs.unionByName(more) if more is not None else pairs).distinct())
+    nodes = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = written(sets.join(nodes(met), "node", "left_semi").select("node", "n", "bits", "_r1", "_r2"))
+    left, right = ends.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), ends.select(F.col("node").alias("b"), F.col("bits").alias("y"), "n")
+    pairs = written(met.join(left, "a").join(right, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_may_be_similar, "a long, b long"))
+    wanted = written(ends.join(nodes(pairs), "node", "left_semi").select("_r1", "_r2"))
     texts = rows.join(small_side(wanted), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("text")
     whole = written(texts.mapInArrow(_whole, "node long, hashes binary"))
     left, right = whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), whole.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"))
-    for used in (whole, wanted, pairs):
+    for used in (whole, wanted, pairs, ends, met):
         discard(used)
     return out
 
@@ -222,8 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = rows.select("*", *row_key(F.col("doc_id"), F.col("text")))
     often = spark.sparkContext.broadcast(frequent(rows))
-    prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary, fp long"))
-    sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "fp", "_r1", "_r2", F.col("node").alias("root")))
+    prints = written(rows.mapInArrow(_prefixes(often), "doc_id long, _r1 long, _r2 long, node long, n long, keys binary, fp long, bits binary"))
+    sets = written(prints.dropDuplicates(["node"]).select("node", "n", "keys", "fp", "bits", "_r1", "_r2", F.col("node").alias("root")))
     narrow = written(prints.select("doc_id", "_r1", "_r2", "node"))
     discard(prints)
     found = _links(rows, sets, 1, proposed(sets))

@@ -8,13 +8,14 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows as make_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadspark.llm import linededup, media, mixing, packing, quality, secrets, simhash, sketch, toxicity, warc
+from quadspark.llm import jaccard, linededup, media, mixing, packing, quality, secrets, simhash, sketch, toxicity, warc
 from quadspark.llm.common import held_out, table, training_labels
 
 ROWS = make_rows()
@@ -271,7 +272,7 @@ def test_trigram_counts_are_exact(spark, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choices("ab é1 ", k=rng.randrange(40))) for _ in range(200)]
     alphabet = toxicity.A_TO_Z + "é"
-    import pyarrow as pa
+
 
     got = next(toxicity._trigrams(alphabet)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
     want, n = Counter(), len(alphabet) + 2
@@ -300,6 +301,16 @@ def test_readings_do_not_depend_on_what_was_read(reader):
         assert [found[t] for t in texts] == alone
 
 
+def test_runs_of_groups_hold_all_that_is_spread_out(reader):
+    """Searching the runs of short groups finds what searching the whole text does."""
+    rng = random.Random(5)
+    parts = ["a", "i", "ss", "the", "1", "@", "$", "!", "(", " ", "  ", ".", "-", "_", "*", "\n", "\t", "é", "you", "|", "idiot", "9", "to", "'"]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randrange(30)))
+        want = set().union(*(reader.span(m[0]) for m in toxicity.SPREAD_OUT.finditer(text)))
+        assert want <= toxicity.Reader(reader.model).apart(text), text
+
+
 def test_weights_do_not_depend_on_partitions(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     labels = table(spark, "/root/testdata/sf0.01", "labels")
@@ -651,6 +662,21 @@ def roots(edges, nodes):
     return {frozenset(n for n in nodes if find(n) == find(m)) for m in nodes}
 
 
+@pytest.mark.parametrize("size", [1, 5, 40, 900, 20_000])
+def test_bitmaps_drop_no_similar_pair(size):
+    rng = np.random.default_rng(size)
+    pairs = []
+    for part in (0.0, 0.05, 0.1, 0.11, 0.12, 0.2, 1.0):
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        new = np.unique(rng.integers(0, 1 << 63, max(1, int(size * part)), np.uint64))
+        pairs += [(a, np.unique(np.r_[a[len(new) :], new])), (a, a), (a, np.unique(np.r_[a, new]))]
+    columns = {"a": [*range(len(pairs))], "b": [*range(len(pairs))], "x": [jaccard.bitmap(a) for a, _ in pairs], "y": [jaccard.bitmap(b) for _, b in pairs], "m": [len(a) for a, _ in pairs], "n": [len(b) for _, b in pairs]}
+    kept = {i for b in jaccard._may_be_similar(iter([pa.RecordBatch.from_pydict(columns)])) for i in b.column("a").to_pylist()}
+    similar = {i for i, (a, b) in enumerate(pairs) if jaccard.similar(a, b)}
+    assert similar and similar <= kept
+    assert size not in (40, 900) or len(kept) < len(pairs)  # and drops pairs of unlike sets
+
+
 def test_links_join_whatever_is_linked(spark):
     """Random fingerprints with others at every distance up to 6, and dense groups."""
     rng = random.Random(4)
