@@ -273,7 +273,6 @@ def test_trigram_counts_are_exact(spark, monkeypatch):
     texts = ["".join(rng.choices("ab é1 ", k=rng.randrange(40))) for _ in range(200)]
     alphabet = toxicity.A_TO_Z + "é"
 
-
     got = next(toxicity._trigrams(alphabet)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
     want, n = Counter(), len(alphabet) + 2
     for t in texts:
