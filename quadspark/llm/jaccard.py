@@ -10,8 +10,8 @@ n - ceil(0.8 n) + 1 of each. Sets meet in the buckets of these; pairs that can't
 what they meet by is the first they share are dropped there. The others' bitmaps, of which each
 shingle turns one bit over, differ in no more bits than the sets in shingles: most pairs go by that
 without a look at their texts, and the rest are compared whole.
-Shingles that are frequent in a sample come last in the order, so that few of them are in a
-prefix; the sample changes what is compared, not what is found.
+Shingles that are frequent in a sample come last in the order, the most frequent at its end, so
+that few of them are in a prefix; the sample changes what is compared, not what is found.
 
 Three rounds: the first checks SimHash's pairs, and compares each set of a bucket with the first
 of its sizes, the second with the last one; only the third takes all pairs, and of these only
@@ -34,7 +34,7 @@ WORDS = 5
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 3, 100_000
 #: Shingles of a set, besides the frequent ones, that the first rounds look at.
 FIRST = 2
-#: Bits of a set's bitmap.
+#: Bits of a set's bitmap at least; larger sets have as many as shingles, or up to twice that.
 BITS = 1024
 #: Pairs handed on at once.
 PIECE = 1 << 16
@@ -60,8 +60,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of how many hashes fall on each of BITS places."""
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Parities of how many hashes fall on each of a power of two of places."""
+    bits = max(BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def _node(s: np.ndarray) -> int:
@@ -74,25 +75,30 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], names=["h"])
 
 
-def frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles that are frequent in a sample of rows (text, _r1), at most MOST_FREQUENT."""
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of rows (text, _r1), at most MOST_FREQUENT, and the
+    place of each among them, the most frequent last."""
     share = min(1_000_000, 1 + SAMPLE_ROWS * 1_000_000 // max(rows.count(), 1))
     hashes = rows.where(F.pmod("_r1", F.lit(1_000_000)) < share).select("text").mapInArrow(_sample, "h long")
     found = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64).view(np.uint64))
+    hashes = np.array([r["h"] for r in found.select("h").collect()][::-1], np.int64).view(np.uint64)
+    places = np.argsort(hashes)
+    return hashes[places], places
 
 
 def _prefixes(often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = often.value
+        last, places = often.value
         for b in batches:
             node, size, keys, fp, bits = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 hashes = gram_hashes(t, WORDS)
                 s = _set(hashes)
                 node.append(_node(s)), size.append(len(s)), fp.append(majority(hashes)), bits.append(bitmap(s))
-                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                keys.append(np.concatenate([s[~late], s[late] | np.uint64(1 << 63)])[: prefix(len(s))].tobytes())
+                found = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                late = last[found] == s if len(last) else np.zeros(len(s), bool)
+                ordered = s[late][np.argsort(places[found[late]])]
+                keys.append(np.concatenate([s[~late], ordered | np.uint64(1 << 63)])[: prefix(len(s))].tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_r1", "_r2")), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "_r1", "_r2", "node", "n", "keys", "fp", "bits"])
 
     return run
@@ -178,14 +184,22 @@ def _meet(star: int):
     return run
 
 
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ; the larger one is folded to the other's size."""
+    out, kinds = np.zeros(len(x), np.int64), np.array([[len(p), len(q)] for p, q in zip(x, y, strict=True)]).reshape(-1, 2)
+    for kind in np.unique(kinds, axis=0):
+        at = np.flatnonzero((kinds == kind).all(axis=1))
+        p, q = (np.bitwise_xor.reduce(np.frombuffer(b"".join(v[i] for i in at), np.uint8).reshape(len(at), -1, kind.min()), axis=1) for v in (x, y))
+        out[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps (x, y) don't differ in more bits than similar sets of m and n shingles can
     in shingles: a ninth of m + n."""
     for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
-            m, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("m", "n"))
-            yield b.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n))
+        m, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("m", "n"))
+        yield b.select(["a", "b"]).filter(pa.array(9 * differing(b.column("x").to_pylist(), b.column("y").to_pylist()) <= m + n))
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, row_key, small_side, written
+from quadspark.llm.common import bounded_batches, discard, marked, row_key, small_side, written
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
 #: Bits of the ring's segments, from the lowest.
@@ -251,10 +251,17 @@ def near_dedup_stage(docs: DataFrame) -> DataFrame:
     more over five-word shingles: the smallest doc_id stays (nulls last; of rows with that id one
     by content; of rows equal in id and text any one). Pairs are proposed by fingerprints of five-word
     shingles within DISTANCE bits, found by the pigeonring, and checked by their shingles; what is as
-    similar but farther apart in bits is found by a second search (quadspark.llm.jaccard)."""
+    similar but farther apart in bits is found by a second search (quadspark.llm.jaccard). Only rows
+    that a bitmap of those that go has are joined; the others' texts aren't shuffled."""
     from quadspark.llm import jaccard
 
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_r1", "_r2")).alias("best")
-    keep = written(jaccard.near_duplicates(docs).groupBy("root").agg(best).select("best._r1", "best._r2"))
+    found = written(jaccard.near_duplicates(docs))
+    keep = written(found.groupBy("root").agg(best).select("best._r1", "best._r2"))
+    times = found.groupBy("_r1", "_r2").agg(F.count(F.lit(1)).alias("n")).join(small_side(keep.withColumn("kept", F.lit(True))), ["_r1", "_r2"], "left")
+    goes = written(times.where("kept IS NULL OR n > 1").select("_r1"))  # or is there more than once
+    discard(found)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(F.col("doc_id").cast("long"), F.col("text")))
-    return rows.join(keep, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("row.*")
+    rows = marked(rows, goes, "_r1")
+    rest = rows.where("marked").join(small_side(keep), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"])
+    return rows.where("NOT marked").select("row.*").unionByName(rest.select("row.*"))

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadspark.llm import jaccard, linededup, media, mixing, packing, quality, secrets, simhash, sketch, toxicity, warc
-from quadspark.llm.common import held_out, table, training_labels
+from quadspark.llm.common import held_out, marked, table, training_labels, written
 
 ROWS = make_rows()
 PAIRS = [(r[0], r[1]) for r in ROWS]
@@ -676,6 +678,73 @@ def test_bitmaps_drop_no_similar_pair(size):
     assert size not in (40, 900) or len(kept) < len(pairs)  # and drops pairs of unlike sets
 
 
+def test_bitmaps_of_large_sets_drop_unlike_pairs():
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 1 << 63, 20_000, np.uint64))
+    half = np.unique(np.r_[a[::2], rng.integers(0, 1 << 63, len(a) // 2, np.uint64)])
+    columns = {"a": [0, 1], "b": [0, 1], "x": [jaccard.bitmap(a)] * 2, "y": [jaccard.bitmap(half), jaccard.bitmap(a[: len(a) * 9 // 10])], "m": [len(a)] * 2, "n": [len(half), len(a) * 9 // 10]}
+    assert [i for b in jaccard._may_be_similar(iter([pa.RecordBatch.from_pydict(columns)])) for i in b.column("a").to_pylist()] == [1]
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (900, 1100), (1000, 1030), (5000, 4000), (20_000, 3)])
+def test_bitmaps_of_different_sizes_are_folded(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in sizes)
+    odd = [{int(p) for p, n in zip(*np.unique(s % np.uint64(min(8 * len(jaccard.bitmap(x)) for x in (a, b))), return_counts=True), strict=True) if n % 2} for s in (a, b)]
+    assert jaccard.differing([jaccard.bitmap(a)], [jaccard.bitmap(b)]).tolist() == [len(odd[0] ^ odd[1])]
+
+
+def test_most_frequent_shingles_are_last_in_a_prefix(spark):
+    """Of a text of frequent shingles only, the prefix holds the rarest of these."""
+    phrases = [" ".join(f"p{k}x{i}" for i in range(5)) for k in range(40)]
+    rows = spark.createDataFrame([(p, 0) for k, p in enumerate(phrases) for _ in range(3 + k)], "text string, _r1 long")
+    often = jaccard.frequent(rows)
+    text = " ".join(phrases)
+    batch = pa.RecordBatch.from_pydict({"text": [text], "doc_id": [1], "_r1": [1], "_r2": [1]})
+    by = {int(jaccard.shingles(p)[0]): k for k, p in enumerate(phrases)}
+    assert [by[int(h)] for h in often[0][np.argsort(often[1])]] == list(range(40))
+    (out,) = jaccard._prefixes(SimpleNamespace(value=often))(iter([batch]))
+    keys = np.frombuffer(out.column("keys")[0].as_py(), np.uint64)
+    assert len(keys) == jaccard.prefix(out.column("n")[0].as_py()) and not (keys >> np.uint64(63)).any()
+    only = " ".join(phrases[k] for k in (30, 4, 17))
+    last = jaccard.shingles(only)
+    (out,) = jaccard._prefixes(SimpleNamespace(value=(last, np.arange(len(last))[::-1])))(iter([pa.RecordBatch.from_pydict({"text": [only], "doc_id": [1], "_r1": [1], "_r2": [1]})]))
+    keys = np.frombuffer(out.column("keys")[0].as_py(), np.uint64)
+    assert (keys ^ np.uint64(1 << 63)).tolist() == last[::-1][: len(keys)].tolist()
+
+
+def test_marked_rows_hold_all_keys(spark):
+    rows = spark.range(-3000, 3000).select("id", F.xxhash64("id").alias("k"))
+    keys = written(rows.where("id % 10 = 0").select("k"))
+    got = {(r.id % 10 == 0, r.marked) for r in marked(rows, keys, "k").collect()}
+    assert (True, True) in got and (True, False) not in got
+    assert marked(rows, keys, "k").where("marked AND id % 10 <> 0").count() < 300
+    assert marked(rows, written(keys.limit(0)), "k").where("marked").count() == 0
+
+
+def shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in held.split("\n") if os.path.basename(x).startswith("shuffle_")}
+
+
+def test_stage_shuffles_no_text_that_stays(spark):
+    """Texts that differ, but for two equal rows and two near ones; their words are drawn, so that they don't compress."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(300)) for _ in range(300)]
+    data = [*enumerate(texts), (0, texts[0]), (1000, texts[1] + " end")]
+    out = simhash.near_dedup_stage(spark.createDataFrame(data, "doc_id long, text string"))
+    was = shuffle_files(spark)
+    assert brute.counted(r.doc_id for r in out.collect()) == brute.counted(range(300))
+    assert sum(os.path.getsize(f) for f in shuffle_files(spark) - was if os.path.exists(f)) < 0.2 * sum(map(len, texts))
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    was = shuffle_files(spark)
+    assert written(spark.range(100_000).repartition(F.col("id")).groupBy("id").count()).count() == 100_000
+    left = {f for f in shuffle_files(spark) - was if f.endswith(".data")}
+    assert sum(map(os.path.getsize, left)) < 10_000, left  # those of the count
+
+
 def test_links_join_whatever_is_linked(spark):
     """Random fingerprints with others at every distance up to 6, and dense groups."""
     rng = random.Random(4)
