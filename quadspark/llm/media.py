@@ -2,10 +2,10 @@
 
 A payload is stored losslessly as a WAV file of 8-bit mono samples. The samples are cut where a
 rolling gear hash of their bytes says so, so that shared passages give equal chunks wherever they
-stand; the file's header, which holds its length, is kept beside the ordered chunk list. Each
-text is chunked once, into a first table of chunk lists with their bytes. Chunk digests are
-deduplicated by Spark: a chunk that several files may share is stored once in a chunk table,
-others stay beside the file's list. Reading back joins the lists with the chunk table, puts the
+stand; the file's header, which holds its length, is kept beside the ordered chunk list. Chunk
+digests are deduplicated by Spark: a chunk that several files may share is stored once in a chunk
+table, others stay beside the file's list. Texts are chunked again for each of these rather than
+stored whole in between. Reading back joins the lists with the chunk table, puts the
 chunks together in order, and verifies them.
 
 Which chunks may be shared is told by a bitmap of the digests that occur more than once. Its
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import bounded_batches, discard, small_side, written
+from quadspark.llm.common import bounded_batches, small_side, written
 
 RATE, BLOCK = 8000, 64
 #: Chunk sizes; a cut is likely every 2 ** CUT_BITS bytes after the least.
@@ -108,31 +108,27 @@ PART = "array<struct<digest:binary,data:binary>>"
 _PART = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files with their header and ordered chunks; equal texts of a batch are cut once. Tables
-    compress chunks together, which takes less room than each by itself."""
+def _chunked(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[bytes, bytes]]]]:
+    """(text, file, ordered chunks with their digests) of each row; equal texts of a batch are cut once."""
+    seen: dict[bytes, tuple] = {}
+    for t in b.column("data").to_pylist():
+        if t not in seen:
+            media = to_wav(payload(t))
+            seen[t] = (t, media, [(_digest(c), c) for c in chunks(media[HEADER:])])
+        yield seen[t]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "media", "sha", "header", "parts")}
-        seen: dict[bytes, tuple] = {}
-        for t in b.column("data").to_pylist():
-            found = seen.get(t)
-            if found is None:
-                media = to_wav(payload(t))
-                parts = [{"digest": _digest(c), "data": c} for c in chunks(media[HEADER:])]
-                found = seen[t] = (len(t), len(media), hashlib.sha256(media).hexdigest(), media[:HEADER], parts)
-            for k, v in zip(out, found, strict=True):
-                out[k].append(v)
-        arrays = [b.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.binary(), _PART), strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "header", "parts"])
+        yield pa.RecordBatch.from_arrays([pa.array([d for *_, parts in _chunked(b) for d, _ in parts], pa.binary())], names=["digest"])
 
 
 FILES = f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, header binary, refs long, parts {PART}"
 
 
-def _repeated_map(spark: SparkSession, cut: DataFrame):
+def _repeated_map(spark: SparkSession, digests: DataFrame):
     """(bits, broadcast bitmap) of the digests that occur more than once. Spark makes it, in pieces
     of 4 KB; the driver gets its size at most."""
-    digests = cut.select(F.explode("parts.digest").alias("digest"))
     repeated = written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     bits = min(MOST_MAP_BITS, max(MAP_BITS, (BITS_EACH * repeated.count()).bit_length()))
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
@@ -155,24 +151,26 @@ def _shared(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for b in batches:
-            found = {p["digest"]: p["data"] for parts in b.column("parts").to_pylist() for p in parts if _may_repeat(known, p["digest"])}
+            found = {d: c for *_, parts in _chunked(b) for d, c in parts if _may_repeat(known, d)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
 
     return run
 
 
 def _referring(pieces):
-    """The files, without the bytes of the chunks that may be shared; refs counts those."""
+    """The files with their header and ordered chunks, without the bytes of those that may be shared;
+    refs counts these. Tables compress chunks together, which takes less room than each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for b in batches:
-            refs, lists = [], []
-            for parts in b.column("parts").to_pylist():
-                own = [{"digest": p["digest"], "data": None if _may_repeat(known, p["digest"]) else p["data"]} for p in parts]
-                refs.append(sum(p["data"] is None for p in own)), lists.append(own)
-            keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "header"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(refs, pa.int64()), pa.array(lists, _PART)], names=[*keep, "refs", "parts"])
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "media_bytes", "media_sha256", "header", "refs", "parts")}
+            for t, media, parts in _chunked(b):
+                own = [{"digest": d, "data": None if _may_repeat(known, d) else c} for d, c in parts]
+                for k, v in zip(out, (len(t), len(media), hashlib.sha256(media).hexdigest(), media[:HEADER], sum(p["data"] is None for p in own), own), strict=True):
+                    out[k].append(v)
+            arrays = [b.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), _PART), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *out])
 
     return run
 
@@ -206,15 +204,16 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature stri
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, chunk table), written. files: doc_id, n_bytes, media_bytes, media_sha256, header,
-    refs (how many of its chunks are in the chunk table), parts (its ordered chunk list)."""
+    refs (how many of its chunks are in the chunk table), parts (its ordered chunk list).
+
+    docs are read and chunked three times, for the digests, the chunk table and the files: that takes
+    less than a table of all chunks, which would stand beside the two and hold as much."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    cut = written(rows.mapInArrow(_cut, FILES.replace("refs long, ", "")))
-    pieces = _repeated_map(spark, cut)
-    table = written(cut.select("parts").mapInArrow(_shared(pieces), "digest binary, data binary").dropDuplicates(["digest"]))
-    files = written(cut.mapInArrow(_referring(pieces), FILES))
-    discard(cut)  # all it held is in the other two
+    pieces = _repeated_map(spark, rows.mapInArrow(_digests, "digest binary"))
+    table = written(rows.mapInArrow(_shared(pieces), "digest binary, data binary").dropDuplicates(["digest"]))
+    files = written(rows.mapInArrow(_referring(pieces), FILES))
     return files, table
 
 

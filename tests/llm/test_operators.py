@@ -804,6 +804,22 @@ def test_media_shares_chunks(spark):
     assert media.media_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 12
 
 
+def test_media_writes_no_more_than_it_stores(spark, monkeypatch):
+    """No table of all chunks beside the files and the chunk table."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for i in range(40)], "doc_id long, text string")
+    sizes = []
+
+    def sized(df):
+        out = written(df)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(media, "written", sized)
+    files, chunks = media.store(docs)
+    assert sum(sizes) < 1.3 * sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for t in (files, chunks) for f in t.inputFiles())
+
+
 def test_near_copies_share_chunks(spark):
     """Texts of 600 words with one word changed, or some put in: at least a third of the chunks are shared."""
     rng = random.Random(9)
