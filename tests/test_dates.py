@@ -30,12 +30,20 @@ def test_durations_of_known_and_unknown_dates(spark, by):
         assert r["kind"].endswith("#dateTime")
 
 
+def test_differences_of_known_and_unknown_dates(spark):
+    at = "'2000-01-01T01:00:00+01:00'^^xsd:dateTime"
+    found = _engine(spark).query(f"SELECT (STR(?t - {at}) AS ?a) (STR(xsd:dateTime(STR(?t)) - {at}) AS ?b) (STR(?t - ?t) AS ?z) (STR(?d - ?d) AS ?y) (DATATYPE(?t - {at}) AS ?kind) WHERE {{ ?x x:at ?t ; x:day ?d }}").collect()
+    assert len(found) == 5 and "P7335DT23H59M59.5S" in {r["a"] for r in found}
+    for r in found:
+        assert r["a"] == r["b"] and r["z"] == r["y"] == "PT0S" and r["kind"].endswith("#dayTimeDuration")
+
+
 def test_bad_operands_are_errors(spark):
     found = _engine(spark).query("SELECT (STR(?t + 'P'^^xsd:duration) AS ?a) (STR(?t + 1) AS ?b) (STR(?t + ?t) AS ?c) (STR(?d - ?t) AS ?e) (STR(?t - 'x') AS ?f) WHERE { ?x x:at ?t ; x:day ?d }").collect()
     assert [tuple(r) for r in found] == [(None,) * 5] * 5
 
 
-@pytest.mark.parametrize("e", ["?d + 'P1DT2H'^^xsd:dayTimeDuration", "?d - 'P1M'^^xsd:yearMonthDuration"])
+@pytest.mark.parametrize("e", ["?d + 'P1DT2H'^^xsd:dayTimeDuration", "?d - 'P1M'^^xsd:yearMonthDuration", "?d - '1995-01-01T00:00:00'^^xsd:dateTime"])
 def test_plans_stay_small(spark, small, e):
     text = f"SELECT ?k (STR({e}) AS ?a) WHERE {{ ?o orders:o_orderkey ?k ; orders:o_orderdate ?d }}"
     df = Engine.over_tables(spark, small).query(text)
