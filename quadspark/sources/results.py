@@ -187,12 +187,21 @@ def _short(prefixes: dict[str, str] | None):
     return name
 
 
+#: Tasks among which quads are dealt before their ranges are found, at most.
+SPREAD = 96
+
+
 def _sorted_quads(quads: DataFrame, rows_per_task: int | None) -> DataFrame:
     """Quads of one graph and subject one after the other. Ranges of them are the tasks: a subject
     of very many quads may be in several, and no task holds one whole."""
     key = [F.coalesce("g", F.lit("")).alias("g"), n3_col(F.col("s")).alias("s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")).alias("p"), n3_col(F.col("o")).alias("o"), F.struct("s", "o").alias("t")]
-    rows = quads.select(*key)
-    ranged = rows.repartitionByRange("g", "s", "p", "o") if rows_per_task is None else rows.repartitionByRange(max(1, rows.count() // rows_per_task), "g", "s", "p", "o")
+    if rows_per_task is None:
+        ranged = quads.select(*key).repartitionByRange("g", "s", "p", "o")
+    else:
+        tasks = max(1, quads.count() // rows_per_task)
+        # the ranges are found by samples that every task holds in memory: three of a hundred rows a range, shared among the tasks
+        spread = quads.repartition(min(SPREAD, tasks // 8 + 1), "s", "p", "o")
+        ranged = spread.select(*key).repartitionByRange(tasks, "g", "s", "p", "o")
     return ranged.sortWithinPartitions("g", "s", "p", "o")
 
 
